@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, html_extract, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
     return {
         "op3_exact_dedup": exact_dedup.query,
+        "op4_best_fit_packing": packing.query,
+        "op8_html_extraction": html_extract.query,
         "op10_quality_rules": quality_rules.query,
     }
 
