@@ -80,7 +80,7 @@ RULES: dict[str, Callable[[Text, int], bool]] = {
     "word_length": lambda t, dup: t.word_chars < 2 * t.n_words or t.word_chars > 15 * t.n_words,
     "exclamation": lambda t, dup: 10 * t.text.count("!") > t.n_words,
     "shouting": lambda t, dup: 10 * len(_SHOUT.findall(t.raw)) > 3 * t.n_words,
-    "duplicate_lines": lambda t, dup: 10 * dup > 3 * (t.raw.count(b"\n") + 1),
+    "duplicate_lines": lambda t, dup: 10 * dup > 5 * (t.raw.count(b"\n") + 1),
 }
 
 
@@ -146,6 +146,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * bangs > n_words
-       OR 10 * shouts > 3 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept
+       OR 10 * shouts > 3 * n_words OR 10 * n_dup_lines > 5 * n_lines) AS kept
 FROM b
 """
