@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, packing, quality_rules
+from . import cotrain, exact_dedup, html_extract, packing, pii, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
     return {
+        "op1_pii_feistel": pii.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_best_fit_packing": packing.query,
+        "op5_quality_cotraining": cotrain.query,
         "op8_html_extraction": html_extract.query,
         "op10_quality_rules": quality_rules.query,
     }
