@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, exact_dedup, html_extract, packing, pii, quality_rules
+from . import cotrain, exact_dedup, html_extract, jaccard_join, packing, pii, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
     return {
         "op1_pii_feistel": pii.query,
+        "op2_jaccard_join": jaccard_join.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_best_fit_packing": packing.query,
         "op5_quality_cotraining": cotrain.query,
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {
+        "op2_jaccard_join": jaccard_join.query,
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
     }
