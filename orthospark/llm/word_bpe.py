@@ -8,13 +8,17 @@ cut into pre-tokens, which have a cache of their own.
 from __future__ import annotations
 
 import json
+import re
+import sys
+from array import array
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"
+
 #: Characters at which str.split() splits and the tokenizer doesn't.
-_ODD = "\x1c\x1d\x1e\x1f"
+_ODD = re.compile("[\x1c-\x1f]").search
 
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
@@ -22,65 +26,54 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PLAIN))}
 
 
-class WordEncoder:
-    """ids of texts as little-endian unsigned 32-bit bytes. Holds at most ``3 * most`` words."""
+class WordEncoder(dict):
+    """Word -> ids as little-endian unsigned 32-bit bytes. Holds at most ``3 * most`` entries."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.pattern = None
-        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"] and steps[0]["invert"]:
-            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
-        self.most, self.known, self.old = most, {}, {}
-        self.parts: dict[str, bytes] = {}
-
-    def _one(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Pre-tokens are cut here and given to the BPE model alone, far cheaper than a whole
-        encoding; words beyond the Latin blocks or with special tokens take the plain way."""
-        known, special = self.known, self.special
-        plain = [w for w in words if max(w) < "\u0250" and not any(s in w for s in special)] if self.pattern else []
-        for w in set(words).difference(plain):
-            known[w] = self._one(w)
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        parts, find, model = self.parts, self.pattern and self.pattern.findall, self.tokenizer.model
-        for a in range(0, len(plain), 20_000):
-            some = plain[a : a + 20_000]
-            for w, norm in zip(some, self.tokenizer.normalizer.normalize_str(" ".join(some)).split(" "), strict=True):
-                ids = b""
-                for p in find(norm):
-                    if (x := parts.get(p)) is None:
-                        x = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
+        norms = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.find = None
+        if norms == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"]:
+            self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.model = self.tokenizer.model
+        self.most, self.old, self.parts = most, {}, {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            # Below the combining marks a text is in composed form already. Pre-tokens go to the
+            # BPE model alone, far cheaper than a whole encoding, which other words take.
+            if self.find is None or not (word.isascii() or max(word) < "\u0250") or any(s in word for s in self.special):
+                ids = self._whole(word)
+            else:
+                parts, out = self.parts, []
+                for p in self.find(word.lower()):
+                    x = parts.get(p)
+                    if x is None:
+                        x = array("I", [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes()
                         parts[p] = x
-                    ids += x
-                known[w] = ids
+                    out.append(x)
+                ids = b"".join(out)
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        split = [[] if any(c in t for c in _ODD) else t.split() for t in texts]
-        if len(self.known) > self.most:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        got = [list(map(known.get, ws)) for ws in split]
-        missing = [i for i, g in enumerate(got) if None in g]
-        if missing:
-            new: set[str] = set()
-            for i in missing:
-                new.update(w for w, x in zip(split[i], got[i]) if x is None)
-            if old:
-                again = new & old.keys()
-                known.update((w, old[w]) for w in again)
-                new -= again
-            self._learn(list(new))
-            for i in missing:
-                got[i] = [known[w] if x is None else x for w, x in zip(split[i], got[i])]
-        return [b"".join(g) if ws or not t else self._one(t) for t, ws, g in zip(texts, split, got)]
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        get = self.__getitem__
+        return [self._whole(t) if _ODD(t) else b"".join(map(get, t.split())) for t in texts]
 
 
 _LOADED: dict[str, WordEncoder] = {}
