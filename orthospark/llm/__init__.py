@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, exact_dedup, html_extract, jaccard_join, packing, pii, quality_rules
+from . import cotrain, exact_dedup, html_extract, jaccard_join, lm_score, packing, piece_nbest, pii, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup.query,
         "op4_best_fit_packing": packing.query,
         "op5_quality_cotraining": cotrain.query,
+        "op7_stupid_backoff": lm_score.query,
         "op8_html_extraction": html_extract.query,
+        "op9_piece_nbest": piece_nbest.query,
         "op10_quality_rules": quality_rules.query,
     }
 
@@ -27,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_jaccard_join": jaccard_join.query,
         "op3_exact_dedup": exact_dedup.ORACLE,
+        "op7_stupid_backoff": lm_score.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,
     }
