@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotrain, exact_dedup, html_extract, jaccard_join, lm_score, packing, piece_nbest, pii, quality_rules
+from . import cotrain, exact_dedup, html_extract, jaccard_join, lm_score, packing, piece_nbest, pii, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": exact_dedup.query,
         "op4_best_fit_packing": packing.query,
         "op5_quality_cotraining": cotrain.query,
+        "op6_size_tiered_sharding": sharding.query,
         "op7_stupid_backoff": lm_score.query,
         "op8_html_extraction": html_extract.query,
         "op9_piece_nbest": piece_nbest.query,
