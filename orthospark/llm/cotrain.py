@@ -7,9 +7,9 @@ view, which is fitted anew. At the end each view is calibrated on a held-out fol
 labelled rows, the calibrated log odds are combined by a third logistic model fitted on that
 fold, and every document is scored.
 
-Bounds: ``max_labelled`` labelled rows and ``max_pseudo`` pseudo-labelled rows a class, view and
-round (those with the smallest id hash) are brought to the driver; all counts and scores cover
-all documents. A class of which the labels have no row, or an empty label table, leaves
+Bounds: about ``max_labelled`` labelled rows and ``max_pseudo`` pseudo-labelled rows a class, view
+and round (those with the smallest hashes, by a threshold that follows from their exact number) are
+brought to the driver; all counts and scores cover all documents. A class of which the labels have no row, or an empty label table, leaves
 nothing to learn: every document then scores the share of good labels (1 without labels).
 
 Edge cases: null text counts as empty; null metadata has features of its own; null labels are
@@ -170,16 +170,30 @@ def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
     return x, z
 
 
+_SPREAD = 1 << 40
+
+
+def _below(hash_col: str, n: int, most: int) -> Column:
+    """True for all of ``n`` rows, or for about ``most`` of them, by their hash."""
+    return F.pmod(F.col(hash_col), F.lit(_SPREAD)) < F.lit(_SPREAD if n <= most else _SPREAD * most // n)
+
+
+def _about(df: DataFrame, hash_col: str, n: int, most: int) -> DataFrame:
+    return df if n <= most else df.where(_below(hash_col, n, most))
+
+
 def train(docs: DataFrame, labels: DataFrame, rounds: int = 3, confidence: float = 0.97, max_labelled: int = 20_000,
           max_pseudo: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit both views by co-training. ``confidence``: calibrated probability of a pseudo-label."""
     marked = (
         labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+        .withColumn("lh", F.xxhash64("id"))
     )
+    marked = _about(marked, "lh", marked.count(), max_labelled).select("id", "y")
     features = checkpointed(_features(docs, id_col, text_col))
-    known = features.join(F.broadcast(marked), "id").select("id", "x", "z", "y", "h").orderBy("h").limit(max_labelled).collect()
+    found = features.join(F.broadcast(marked), "id").select("id", "x", "z", "y", "h")
+    known = _about(found, "h", found.count(), max_labelled).collect()
     y = np.array([r["y"] for r in known], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(None, None, None, None, float(y.mean()) if len(y) else 1.0)
@@ -222,10 +236,11 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 3, confidence: float
 
         unmarked = features.join(F.broadcast(marked.select("id")), "id", "left_anti").select("id", "x", "z", "h")
         sure = unmarked.mapInArrow(confident, "id long, x binary, z array<int>, h long, view int, guess int")
-        taken = []
-        for view in (0, 1):
-            for guess in (0, 1):
-                taken += sure.where((F.col("view") == view) & (F.col("guess") == guess)).orderBy("h").limit(max_pseudo).collect()
+        counts = {(r["view"], r["guess"]): r["count"] for r in sure.groupBy("view", "guess").count().collect()}
+        some = F.lit(False)
+        for (view, guess), n in counts.items():
+            some = some | ((F.col("view") == view) & (F.col("guess") == guess) & _below("h", n, max_pseudo))
+        taken = sure.where(some).collect() if counts else []
         shared.unpersist()
         for view in (0, 1):  # what one view is sure of teaches the other
             rows = [r for r in taken if r["view"] == 1 - view]
