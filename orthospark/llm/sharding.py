@@ -22,6 +22,7 @@ like a result column of ``places`` are only read under their own names by ``read
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import uuid
@@ -110,6 +111,20 @@ class ShardStore:
         df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
         return [Shard(f"{folder}/{n}", size, level) for n, size in self._list(f"{self.root}/{folder}") if n.startswith("part-")]
 
+    @contextlib.contextmanager
+    def _separate_unions(self):
+        """Keep each member of a union a partition of its own; else single partitions become one."""
+        name = "spark.sql.unionOutputPartitioning"
+        old = self.spark.conf.get(name, None)
+        self.spark.conf.set(name, "false")
+        try:
+            yield
+        finally:
+            if old is None:
+                self.spark.conf.unset(name)
+            else:
+                self.spark.conf.set(name, old)
+
     def append(self, df: DataFrame) -> int:
         """Add the rows of ``df`` as small shards; returns the new version."""
         new = self._write(df, 0)
@@ -132,7 +147,8 @@ class ShardStore:
             for a in range(0, len(runs), policy.merges_a_job):
                 part = runs[a : a + policy.merges_a_job]
                 frames = [self._scan([s.path for s in run]).coalesce(1) for run in part]
-                merged += self._write(functools.reduce(DataFrame.unionByName, frames), 1 + max(s.level for run in part for s in run))
+                with self._separate_unions():
+                    merged += self._write(functools.reduce(DataFrame.unionByName, frames), 1 + max(s.level for run in part for s in run))
             gone = {s.path for run in runs for s in run}
             try:
                 self.commit([s for s in shards if s.path not in gone] + merged, base)
