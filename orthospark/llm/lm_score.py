@@ -119,14 +119,26 @@ class _Grams:
             distinct.append(u)
             counts.append(c)
             size += u.size
+        del h2, h3
         self.start, self.place = start, place
-        self.own = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        self.own = np.concatenate(counts).astype(np.int32) if counts else np.zeros(0, np.int32)
         every = np.concatenate(distinct) if distinct else np.zeros(0, np.uint64)
-        self.grams, self.at = np.unique(every, return_inverse=True)
+        del distinct, counts
+        self.order = np.argsort(every)
+        every = every[self.order]
+        self.fresh = np.concatenate((np.ones(min(1, every.size), bool), every[1:] != every[:-1]))
+        self.grams = every[self.fresh]
+
+    def counts(self) -> np.ndarray:
+        """The chunk's own counts of ``grams``."""
+        return np.add.reduceat(self.own[self.order], np.flatnonzero(self.fresh)) if self.grams.size else self.own
 
     def scores(self, total: np.ndarray, n_words: int) -> np.ndarray:
         """Sum of ln S of each document, given the corpus's counts of ``grams``."""
-        others = (total[self.at] - self.own).astype(np.float64)
+        others = np.empty(self.own.size, np.float64)
+        others[self.order] = total[np.cumsum(self.fresh, dtype=np.int32) - 1]
+        others -= self.own
+        del self.order, self.fresh, self.grams
         n = self.place.shape[1]
         c = np.where(self.place >= 0, others[np.maximum(self.place, 0)], 0.0) if n else np.zeros((3, 0))
         doc = np.repeat(np.arange(self.lengths.size), self.lengths)
@@ -142,7 +154,7 @@ class _Grams:
         return np.bincount(doc, np.log(s), self.lengths.size) if n else np.zeros(self.lengths.size)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 3_000_000,
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 2_200_000,
           grams_a_part: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score of every document."""
     state = checkpointed(_chunks(docs, id_col, text_col, chunk_words))
@@ -153,7 +165,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
         for b in batches:
             for chunk, words, ids, lengths in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5))):
                 g = _Grams(words, ids, lengths)
-                counts = np.bincount(g.at, g.own, g.grams.size).astype(np.uint32)
+                counts = g.counts().astype(np.uint32)
                 edge = np.searchsorted(g.grams, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)).tolist()
                 for p, (x, y) in enumerate(zip([0, *edge], [*edge, g.grams.size])):
                     if y > x:
