@@ -6,6 +6,7 @@ in ``spark.checkpoint.dir``; a private folder is set only where none is named.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the files of shuffles that nothing refers to any more.
+
+    It follows the driver's garbage collection, which else may come much later than the files hurt.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop columns whose name equals one of ``names``, ignoring case."""
     low = {n.lower() for n in names}

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, grouped_stream, mix64, shuffle_width, strings, table, word_hashes
+from .common import checkpointed, free_shuffles, grouped_stream, mix64, shuffle_width, strings, table, word_hashes
 
 ALPHA = 0.4
 _IS_WORD = np.array([b not in (32, 9, 10, 11, 12, 13) for b in range(256)])
@@ -184,7 +184,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([key[0]], pa.int32()), pa.array([_press(x)])], names=["chunk", "part", "total"])
 
     asked = state.mapInArrow(ask, "part int, chunk long, grams binary, counts binary")
-    answers = grouped_stream(asked, ["part"], answer, "chunk long, part int, total binary", parts)
+    # written, so that the questions' shuffle files, several times as large, can go
+    answers = checkpointed(grouped_stream(asked, ["part"], answer, "chunk long, part int, total binary", parts))
+    del asked
+    free_shuffles(docs.sparkSession)
     nothing = F.lit(None).cast("binary")
     joined = answers.select("chunk", "part", "total", *[nothing.alias(c) for c in ("words", "ids", "docs", "lengths")]).unionByName(
         state.select("chunk", F.lit(-1).alias("part"), nothing.alias("total"), "words", "ids", "docs", "lengths")
