@@ -7,10 +7,10 @@ start, which is an exact heuristic for an A* search that runs backward from the
 paths leave its queue in order of score, so the first N are the N best.
 
 Text: one space is put in front, spaces become the mark U+2581. If no piece has the mark behind
-another character, all paths meet at every word, so the lattice falls into words: a word's
-lattice is built once for a worker's cache, and a text's N best are merged from its words' N
+another character, all paths meet at every word, so the lattice falls into words, and a word falls
+apart between any two characters that follow each other in no piece: a part's lattice is built once for a worker's cache, and a text's N best are merged from its words' N
 best (only the N - 1 words with the smallest loss from best to second best can differ, which
-forward and backward scores tell without a search).
+the two best forward scores tell without a search).
 
 Edge cases: null counts as empty; an empty text is the single mark (one space in front), which
 decodes to the empty text; texts with the mark itself decode exactly (it is spelled in bytes);
@@ -42,7 +42,7 @@ SCHEMA = "doc_id long, n_ids long, score double, ids_crc32 long, nbest_scores ar
 class Pieces(dict):
     """The vocabulary; as a dict, word -> (ids, score, loss of the second best)."""
 
-    def __init__(self, path: str, most: int = 250_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         super().__init__()
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids, self.score, self.byte = {}, {}, {}
@@ -61,8 +61,10 @@ class Pieces(dict):
         self.unknown = min(self.score.values()) - UNKNOWN_LOSS
         #: Every beginning of a piece -> its score, False where it is no piece itself.
         self.walk: dict = {p[:k]: False for p in self.ids for k in range(1, len(p) + 1)} | self.score
+        #: Two characters that follow each other in no piece: all paths meet between them.
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.most, self.old, self.lists = most, {}, {}
+        self.most, self.old, self.lists, self.parts = most, {}, {}, {}
 
     def _bytes(self, c: str) -> tuple[int, ...]:
         raw = MARK.encode() if c == _LITERAL else c.encode("utf-8", "surrogatepass")
@@ -95,32 +97,64 @@ class Pieces(dict):
     def __missing__(self, word: str) -> tuple[bytes, float, float]:
         got = self.old.get(word)
         if got is None:
-            edges, best, start = self.lattice(word)
-            n = e = len(word)
-            ids: list[int] = []
-            follow = [0] * (n + 1)
-            while e:
-                s = start[e]
-                follow[s] = e
-                i = self.ids.get(word[s:e])
-                if i is None:
-                    ids += reversed(self._bytes(word[s:e]))
-                else:
-                    ids.append(i)
-                e = s
-            ids.reverse()
-            after = [_LOW] * n + [0.0]
-            second = _LOW
-            for s, e, w, _ in reversed(edges):  # the best path over any edge that the best path hasn't
-                tail = after[e] + w
-                if tail > after[s]:
-                    after[s] = tail
-                if tail + best[s] > second and follow[s] != e:
-                    second = tail + best[s]
-            got = (array("I", ids).tobytes(), best[n], best[n] - second)
+            inner, parts, start, found = self.inner, self.parts, 0, []
+            for k in range(1, len(word)):
+                if word[k - 1 : k + 1] not in inner:
+                    p = word[start:k]
+                    found.append(parts.get(p) or self._part(p))
+                    start = k
+            p = word[start:]
+            got = parts.get(p) or self._part(p)
+            if found:
+                found.append(got)
+                got = (b"".join([f[0] for f in found]), sum([f[1] for f in found]), min([f[2] for f in found]))
         self[word] = got
         return got
 
+    def _part(self, word: str) -> tuple[bytes, float, float]:
+        """(ids, score, loss of the second best) of a stretch that is not cut any further.
+
+        Forward Viterbi with the two best scores of each node.
+        """
+        n = len(word)
+        best, next_best, start = [0.0] + [_LOW] * n, [_LOW] * (n + 1), [0] * (n + 1)
+        step, unknown = self.walk.get, self.unknown
+        for s in range(n):
+            base, base2, e = best[s], next_best[s], s + 1
+            w = step(word[s])
+            if w is None or w is False:  # no piece of its own: its bytes
+                x, old = base + unknown, best[e]
+                if x > old:
+                    next_best[e] = max(old, base2 + unknown)
+                    best[e], start[e] = x, s
+                elif x > next_best[e]:
+                    next_best[e] = x
+            while w is not None:
+                if w is not False:
+                    x, old = base + w, best[e]
+                    if x > old:
+                        y = base2 + w
+                        next_best[e] = old if old > y else y
+                        best[e], start[e] = x, s
+                    elif x > next_best[e]:
+                        next_best[e] = x
+                e += 1
+                if e > n:
+                    break
+                w = step(word[s:e])
+        e, ids, number = n, [], self.ids.get
+        while e:
+            s = start[e]
+            i = number(word[s:e])
+            if i is None:
+                ids += reversed(self._bytes(word[s:e]))
+            else:
+                ids.append(i)
+            e = s
+        ids.reverse()
+        got = self.parts[word] = (array("I", ids).tobytes(), best[n], best[n] - next_best[n])
+        return got
+
     def nbest_word(self, word: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a word: backward A* with the forward scores."""
         known = self.lists.get(word)
@@ -166,6 +200,8 @@ class Pieces(dict):
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+        if len(self.parts) > self.most:
+            self.parts.clear()
         got = list(map(self.__getitem__, words))
         best = [g[0] for g in got]
         total = sum([g[1] for g in got])
