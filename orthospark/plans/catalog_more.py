@@ -52,15 +52,15 @@ def _transform(spark, sf) -> raster.Affine:
 
 @query("tile_grid", "SELECT * FROM tiles", TILES)
 def tile_grid(spark, sf):
-    return _tiles(spark, sf)
+    return _tiles(spark, sf).select("tile_row", "tile_col", *[F.col(c).cast("long").alias(c) for c in ("row_off", "col_off", "valid_h", "valid_w")])
 
 
-@query("tile_bounds", f"SELECT tile_row, tile_col, 1000.0 + 10.0 * col_off AS west, 5000.0 - 10.0 * (row_off + {SIZE}) AS south, 1000.0 + 10.0 * (col_off + {SIZE}) AS east, 5000.0 - 10.0 * row_off AS north FROM tiles", TILES)
+@query("tile_bounds", f"SELECT tile_row, tile_col, (1000 + 10 * col_off)::DOUBLE AS west, (5000 - 10 * (row_off + {SIZE}))::DOUBLE AS south, (1000 + 10 * (col_off + {SIZE}))::DOUBLE AS east, (5000 - 10 * row_off)::DOUBLE AS north FROM tiles", TILES)
 def tile_bounds(spark, sf):
     return raster.tile_bounds(_tiles(spark, sf), raster.Affine(10.0, 0.0, 1000.0, 0.0, -10.0, 5000.0), SIZE)
 
 
-@query("raster_metadata", "SELECT 1 AS band_count, 4326 AS srid, 10.0 AS \"left\", 49.0 AS bottom, 10.0 + 64 * 0.5 AS \"right\", 49.0 + h * 0.25 AS top, 0.5 AS res_x, 0.25 AS res_y FROM dim", DIM)
+@query("raster_metadata", "SELECT 1 AS band_count, 4326 AS srid, 10::DOUBLE AS \"left\", 49::DOUBLE AS bottom, 42::DOUBLE AS \"right\", 49 + h / 4 AS top, 0.5::DOUBLE AS res_x, 0.25::DOUBLE AS res_y FROM dim", DIM)
 def raster_metadata(spark, sf):
     h = _height(spark, sf)
     t = [0.5, 0.0, 10.0, 0.0, -0.25, 49.0 + h * 0.25]
@@ -153,7 +153,7 @@ def clip_raster(spark, sf):
     return raster.clip_to_box(fx.pixels(spark, sf).select("r", "c", "prob"), _transform(spark, sf), (10.25, h - 90.75, 40.5, h - 20.5))
 
 
-@query("pixel_to_geo", "SELECT r, c, 10.0 + 0.25 * c AS x, 50.0 - 0.5 * r AS y FROM pixels", PIX)
+@query("pixel_to_geo", "SELECT r, c, 10 + c / 4 AS x, 50 - r / 2 AS y FROM pixels", PIX)
 def pixel_to_geo(spark, sf):
     return raster.pixel_to_geo(fx.pixels(spark, sf).select("r", "c"), raster.Affine(0.25, 0.0, 10.0, 0.0, -0.5, 50.0))
 
@@ -180,7 +180,7 @@ def _mask_tiles(spark, sf, least: float) -> DataFrame:
     return vectorize.tiles_from_pixels(d, SIZE, _transform(spark, sf), STRIDE, "building")
 
 
-@query("component_bbox", f"""SELECT tile_row, tile_col, n_cells, minx + tile_col * {STRIDE} AS minx, maxx + tile_col * {STRIDE} AS maxx, h - tile_row * {STRIDE} - maxy AS miny, h - tile_row * {STRIDE} - miny AS maxy
+@query("component_bbox", f"""SELECT tile_row, tile_col, n_cells, (minx + tile_col * {STRIDE})::DOUBLE AS minx, (maxx + tile_col * {STRIDE})::DOUBLE AS maxx, (h - tile_row * {STRIDE} - maxy)::DOUBLE AS miny, (h - tile_row * {STRIDE} - miny)::DOUBLE AS maxy
   FROM (SELECT tile_row, tile_col, count(*)::INT AS n_cells, min(tc)::DOUBLE AS minx, max(tc) + 1.0 AS maxx, min(tr)::DOUBLE AS miny, max(tr) + 1.0 AS maxy FROM labels_ GROUP BY tile_row, tile_col, label), dim""",
        f"""RECURSIVE {ALL}, lit AS (SELECT tile_row, tile_col, tr, tc, tr * {SIZE} + tc AS id FROM dense WHERE valid AND prob >= 0.75),
 reach AS (SELECT tile_row, tile_col, tr, tc, id AS label FROM lit
@@ -288,7 +288,7 @@ def geojson_read_defaults(spark, sf):
     return new.withColumnRenamed("geometry", "event_id").join(old.select(F.col("geometry").alias("event_id"), F.col("confidence").alias("legacy_confidence")), "event_id")
 
 
-@query("indicators_json", """SELECT to_json(list({'zone_id': zone_id, 'class_name': class_name, 'count': n, 'density_per_km2': NULL::DOUBLE, 'total_area_m2': 0.5} ORDER BY zone_id, class_name, n)) AS json
+@query("indicators_json", """SELECT CAST(to_json(list({'zone_id': zone_id, 'class_name': class_name, 'count': n, 'density_per_km2': NULL::DOUBLE, 'total_area_m2': 0.5} ORDER BY zone_id, class_name, n)) AS VARCHAR) AS json
   FROM (SELECT zone_id, class_name, count(*) AS n FROM detections d JOIN zones z ON d.minx <= z.maxx AND z.minx <= d.maxx AND d.miny <= z.maxy AND z.miny <= d.maxy GROUP BY ALL)""")
 def indicators_json(spark, sf):
     from ..operators import zonal
