@@ -49,6 +49,25 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_RESIDENT: dict = {}
+
+
+def resident(name: object, make: Callable[[], object]) -> object:
+    """The one large cache that a worker process keeps; asking for another drops it.
+
+    Worker processes outlive a stage and are shared by all operators of a job.
+    """
+    if _RESIDENT.get("name") != name:
+        _RESIDENT.clear()
+        _RESIDENT.update(name=name, value=make())
+    return _RESIDENT["value"]
+
+
+def release() -> None:
+    """Drop what an earlier stage left in this worker process."""
+    _RESIDENT.clear()
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Drop columns whose name equals one of ``names``, ignoring case."""
     low = {n.lower() for n in names}
@@ -72,6 +91,7 @@ def grouped_stream(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table
     dealt = df.repartition(width, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.Table] = []
         held_key: tuple | None = None
         for batch in batches:

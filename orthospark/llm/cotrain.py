@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, strings, table, without
+from .common import checkpointed, release, strings, table, without
 
 #: Byte classes of the content view: every printable ASCII byte with the cases of letters apart
 #: from each other, white space, other controls, and the leading bytes of longer characters.
@@ -154,6 +154,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("long"), *_columns(docs, text_col))
 
     def run(batches):
+        release()
         for b in batches:
             x = [content_features(t).tobytes() for t in strings(b.column(1))]
             z = [metadata_places(*m) for m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
@@ -218,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 3, confidence: float
         shared = spark.sparkContext.broadcast(model)
 
         def confident(batches, shared=shared):
+            release()
             m = shared.value
             for b in batches:
                 if not b.num_rows:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, without
+from .common import checkpointed, release, table, without
 
 RESULT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 _D, _K, _N, _L = "__xd_digest", "__xd_keep", "__xd_n", "__xd_lead"
@@ -34,6 +34,7 @@ def text_digest(column: str) -> Column:
 
     @F.arrow_udf("binary")
     def digest(texts: pa.Array) -> pa.Array:
+        release()
         sha = hashlib.sha256
         return pa.array([sha((t or "").encode("utf-8", "surrogatepass").translate(_FOLD)).digest() for t in texts.to_pylist()], pa.binary())
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import release, strings, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -262,6 +262,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     kinds = dict(rows.dtypes)
 
     def run(batches):
+        release()
         for batch in batches:
             text = [main_text(h) for h in strings(batch.column(2))]
             yield pa.RecordBatch.from_arrays(

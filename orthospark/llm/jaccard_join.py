@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, grouped_stream, mix64, shingles, shuffle_width, strings, table, word_hashes
+from .common import checkpointed, grouped_stream, mix64, release, shingles, shuffle_width, strings, table, word_hashes
 
 POSITIONS, BRANCH, MAX_DEPTH = 64, 2, 4
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
@@ -100,6 +100,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
 
     def run(batches):
+        release()
         for b in batches:
             cid, n, sig = [], [], []
             for t in strings(b.column(1)):
@@ -121,6 +122,7 @@ def _leaves(classes: DataFrame, runs: int, limit: int) -> DataFrame:
     """(leaf, cid, blocks): memberships of classes in leaves of at least two classes."""
 
     def first(batches):
+        release()
         roots = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
         for b in batches:
             k = b.num_rows
@@ -370,6 +372,7 @@ def _full_sets(docs: DataFrame, owners: DataFrame, id_col: str, text_col: str, w
     rows = rows.join(side, rows["id"].eqNullSafe(side["id"])).select("cid", "t")
 
     def run(batches):
+        release()
         for b in batches:
             cid, out = [], []
             for c, t in zip(b.column(0).to_pylist(), strings(b.column(1))):

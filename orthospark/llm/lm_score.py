@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_shuffles, grouped_stream, mix64, shuffle_width, strings, table, word_hashes
+from .common import checkpointed, free_shuffles, grouped_stream, mix64, release, shuffle_width, strings, table, word_hashes
 
 ALPHA = 0.4
 _IS_WORD = np.array([b not in (32, 9, 10, 11, 12, 13) for b in range(256)])
@@ -63,6 +63,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int) -> Da
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
 
     def run(batches):
+        release()
         held: list[np.ndarray] = []
         ids: list = []
         size = 0
@@ -162,6 +163,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     parts = max(shuffle_width(docs.sparkSession), -(-2 * n_words // grams_a_part))
 
     def ask(batches):
+        release()
         for b in batches:
             for chunk, words, ids, lengths in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5))):
                 g = _Grams(words, ids, lengths)

@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import resident, strings, table
 
 MARK, _LITERAL = "▁", "\udfff"
 UNKNOWN_LOSS = 10.0
@@ -242,14 +242,9 @@ class Pieces(dict):
         return raw.decode("utf-8", "surrogatepass")[1:]
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """This worker process's vocabulary of ``path``."""
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return resident(("pieces", path), lambda: Pieces(path))
 
 
 def encode_nbest(docs: DataFrame, model: str | None = None, n: int = 4, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

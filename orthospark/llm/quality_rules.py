@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import strings, table
+from .common import release, strings, table
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -107,6 +107,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = estimate_order([r[0] or "" for r in rows.select("text").limit(sample_rows).collect()])
 
     def run(batches):
+        release()
         for batch in batches:
             out = []
             for text in strings(batch.column(1)):

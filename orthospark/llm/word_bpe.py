@@ -15,6 +15,8 @@ from array import array
 import regex
 from tokenizers import Tokenizer
 
+from .common import resident
+
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 #: Characters at which str.split() splits and the tokenizer doesn't.
@@ -76,11 +78,6 @@ class WordEncoder(dict):
         return [self._whole(t) if _ODD(t) else b"".join(map(get, t.split())) for t in texts]
 
 
-_LOADED: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """This worker process's encoder of ``path``."""
-    if path not in _LOADED:
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+    return resident(("words", path), lambda: WordEncoder(path))
