@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
     return {
+        "op2_jaccard_join": jaccard_join.ORACLE,
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op7_stupid_backoff": lm_score.ORACLE,
         "op10_quality_rules": quality_rules.ORACLE,

@@ -396,3 +396,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the join of all documents."""
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM t),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b, k = na AND k = nb AS same FROM p WHERE k >= 0.8 * (na + nb - k) - 1e-9),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a),
+c AS (SELECT a, min(c) AS class_id FROM r GROUP BY a),
+l AS (SELECT a, count(*) AS n_links, min(CASE WHEN same THEN b END) AS twin FROM e GROUP BY a)
+SELECT doc_id, class_id, least(doc_id, coalesce(twin, doc_id)) AS set_id, coalesce(n_links, 0) AS n_links
+FROM documents JOIN c ON c.a = doc_id LEFT JOIN l ON l.a = doc_id
+"""
