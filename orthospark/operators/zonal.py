@@ -37,7 +37,7 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def polygon_indicators(dets: DataFrame, zones: DataFrame) -> DataFrame:
-    """The same for WKB polygons (geom, with box columns) and convex polygon zones.
+    """The same for WKB polygons (geom, with box columns) and polygon zones.
 
     Areas are geodesic. A detection counts where they share an area.
     """

@@ -231,6 +231,28 @@ def clip_polygons(spark, sf):
     return d.select("det_id", F.round(g.st_area(F.col("geom")), 6).alias("area"))
 
 
+_PART = lambda a, b, c, d: f"greatest(0, least(maxx, {c}) - greatest(minx, {a})) * greatest(0, least(maxy, {d}) - greatest(miny, {b}))"
+
+
+@query("clip_to_ring", f"SELECT det_id, round(a, 6)::DOUBLE AS area FROM (SELECT det_id, {_PART(105, 95, 905, 875)} - {_PART(400, 380, 610, 640)} AS a FROM detections) WHERE a > 0")
+def clip_to_ring(spark, sf):
+    """An area of interest with a hole: the general overlay."""
+    aoi = [[g.box(105, 95, 905, 875)[0][0], g.box(400, 380, 610, 640)[0][0][::-1]]]
+    cols = [F.col(s).cast("double") for s in boxes.SIDES]
+    d = fx.detections(spark, sf).select("det_id", g.st_clip(g.st_box(*cols), aoi).alias("geom")).where("geom IS NOT NULL")
+    return d.select("det_id", F.round(g.st_area(F.col("geom")), 6).alias("area"))
+
+
+@query("make_valid", "SELECT det_id, false AS was_valid, true AS valid, round((maxx - minx) * (maxy - miny) / 2.0, 6)::DOUBLE AS area FROM detections")
+def make_valid(spark, sf):
+    """Boxes with two corners swapped cross themselves; made valid they are two triangles."""
+    b = [F.col(s).cast("double") for s in boxes.SIDES]
+    ring = F.array(*[F.array(b[i], b[j]) for i, j in ((0, 1), (2, 3), (2, 1), (0, 3), (0, 1))])
+    shape = g.st_from_geojson(F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
+    d = fx.detections(spark, sf).select("det_id", shape.alias("raw")).withColumn("geom", g.st_make_valid(F.col("raw")))
+    return d.select("det_id", g.st_is_valid(F.col("raw")).alias("was_valid"), g.st_is_valid(F.col("geom")).alias("valid"), F.round(g.st_area(F.col("geom")), 6).alias("area"))
+
+
 @query("polygon_iou", "SELECT hi, lo, round(iou, 9) AS iou FROM (SELECT a.det_id AS hi, b.det_id AS lo, (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) AS i,"
        " i::DOUBLE / ((a.maxx - a.minx) * (a.maxy - a.miny) + (b.maxx - b.minx) * (b.maxy - b.miny) - i) AS iou FROM detections a JOIN detections b ON a.class_name = b.class_name"
        " AND (a.confidence > b.confidence OR a.confidence = b.confidence AND a.det_id < b.det_id) AND least(a.maxx, b.maxx) > greatest(a.minx, b.minx) AND least(a.maxy, b.maxy) > greatest(a.miny, b.miny)) WHERE iou >= 0.3")

@@ -184,8 +184,38 @@ def test_overlap_areas():
         assert g.intersection_area(star, b) == pytest.approx(g.area(g.clip(star, b)), abs=1e-9)
     assert g.iou(g.box(0, 0, 2, 2), g.box(1, 0, 3, 2)) == pytest.approx(1 / 3)
     assert g.iou(g.box(0, 0, 1, 1), g.box(1, 0, 2, 1)) == 0
-    with pytest.raises(ValueError):
-        g.clip(u, u)
+    assert g.area(g.clip(u, u)) == pytest.approx(g.area(u))
+
+
+def _random_polygon(rng, n):
+    """Any closed ring, mostly self-crossing."""
+    return [[g.closed([tuple(p) for p in rng.random((n, 2)) * 10])]]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_overlay_is_valid_and_has_the_area(seed):
+    rng = np.random.default_rng(seed)
+    a, b = g.make_valid(_random_polygon(rng, 5 + seed % 6)), g.make_valid(_random_polygon(rng, 4 + seed % 5))
+    for x in (a, b):
+        assert all(g.why_invalid([p]) is None for p in x), g.why_invalid(x)
+    both = g.intersection(a, b)
+    assert all(g.why_invalid([p]) is None for p in both)
+    assert g.area(both) == pytest.approx(g.intersection_area(a, b), rel=1e-6, abs=1e-7)
+    either = g.overlay(a, b, lambda x, y: x or y)
+    assert g.area(either) == pytest.approx(g.area(a) + g.area(b) - g.area(both), rel=1e-6, abs=1e-6)
+
+
+def test_overlay_of_simple_shapes():
+    bow = [[[(0, 0), (4, 4), (4, 0), (0, 4), (0, 0)]]]
+    fixed = g.make_valid(bow)
+    assert len(fixed) == 2 and g.area(fixed) == pytest.approx(8)
+    ring = [[[(0, 0), (6, 0), (6, 6), (0, 6), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)]]]
+    cut = g.clip(ring, ring)
+    assert len(cut) == 1 and len(cut[0]) == 2 and g.area(cut) == 32
+    assert g.intersection(g.box(0, 0, 1, 1), g.box(1, 0, 2, 1)) == [] and g.intersection(g.box(0, 0, 1, 1), g.box(5, 5, 6, 6)) == []
+    assert g.overlay(g.box(0, 0, 1, 1), g.box(1, 0, 2, 1), lambda x, y: x or y) == [[[(0, 0), (2, 0), (2, 1), (0, 1), (0, 0)]]]
+    two = g.intersection([[[(0, 0), (6, 0), (6, 6), (4, 6), (4, 2), (2, 2), (2, 6), (0, 6), (0, 0)]]], g.box(0, 3, 6, 5))
+    assert len(two) == 2 and g.area(two) == 8
 
 
 def test_simplify_keeps_validity():
