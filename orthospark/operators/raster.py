@@ -6,6 +6,7 @@ array per tile, is in ``vectorize``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -183,6 +184,38 @@ def clip_to_box(pixels: DataFrame, t: Affine, aoi: tuple) -> DataFrame:
     return d.select((F.col("r") - F.col("__r")).alias("r"), (F.col("c") - F.col("__c")).alias("c"), *rest)
 
 
+def clip_to_polygon(pixels: DataFrame, t: Affine, aoi: list, aoi_srid: int, srid: int, height: int, width: int) -> DataFrame:
+    """Pixels of the area's window, 0 outside the area; any touched cell is inside.
+
+    The area is reprojected to the raster's reference system first; an area that misses the raster
+    is an error. Cells are tested by rows of the area's window, as one broadcast list of column ranges.
+    """
+    from ..functions import geometry as g
+    from ..functions.projections import reproject_polygons
+
+    area = reproject_polygons(aoi, aoi_srid, srid) if aoi_srid != srid else aoi
+    west, south, east, north = t.bounds(width, height)
+    if g.intersection_area(area, g.box(west, south, east, north)) <= 0:
+        raise ValueError("the area of interest doesn't meet the raster")
+    inv = t.inverse()
+    cells = [[[inv.forward(x, y) for x, y in r] for r in p] for p in area]
+    c0, r0, c1, r1 = g.bounds(cells)
+    c0, r0, c1, r1 = max(0, math.floor(c0)), max(0, math.floor(r0)), min(width, math.ceil(c1)), min(height, math.ceil(r1))
+    spans = []
+    for r in range(r0, r1):
+        for p in g.intersection(cells, g.box(c0, r, c1, r + 1)):
+            b = g.bounds([p])
+            spans.append((r, max(c0, math.floor(b[0])), min(c1, math.ceil(b[2]))))
+    spark = pixels.sparkSession
+    ranges = spark.createDataFrame(spans, "r long, a long, b long").groupBy("r").agg(F.collect_list(F.struct("a", "b")).alias("s"))
+    window = pixels.where((F.col("r") >= r0) & (F.col("r") < r1) & (F.col("c") >= c0) & (F.col("c") < c1))
+    joined = window.join(F.broadcast(ranges), "r", "left")  # a few numbers a raster row
+    inside = F.coalesce(F.exists("s", lambda x: (F.col("c") >= x["a"]) & (F.col("c") < x["b"])), F.lit(False))
+    joined = joined.withColumn("__in", inside)
+    rest = [F.when(F.col("__in"), F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in pixels.columns if c not in ("r", "c")]
+    return joined.select((F.col("r") - r0).alias("r"), (F.col("c") - c0).alias("c"), *rest)
+
+
 def pixel_to_geo(df: DataFrame, t: Affine) -> DataFrame:
     x, y = t.forward(F.col("c"), F.col("r"))
     return df.withColumn("x", x).withColumn("y", y)
@@ -191,13 +224,3 @@ def pixel_to_geo(df: DataFrame, t: Affine) -> DataFrame:
 def geo_to_pixel(df: DataFrame, t: Affine) -> DataFrame:
     c, r = t.inverse().forward(F.col("x"), F.col("y"))
     return df.withColumn("col", c).withColumn("row", r)
-
-
-def to_mercator(lon: Column, lat: Column, radius: float = 6378137.0) -> tuple[Column, Column]:
-    """EPSG:4326 to EPSG:3857."""
-    return F.radians(lon) * F.lit(radius), F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2)) * F.lit(radius)
-
-
-def from_mercator(x: Column, y: Column, radius: float = 6378137.0) -> tuple[Column, Column]:
-    """EPSG:3857 to EPSG:4326."""
-    return F.degrees(x / F.lit(radius)), F.degrees(F.atan(F.exp(y / F.lit(radius))) * 2 - F.lit(1.5707963267948966))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions import geometry as g
+from ..functions import projections as pj
 from ..operators import raster, vectorize
 from ..operators.schema import UPLOAD_SUFFIXES
 from ..sources import geotiff, stac, vector
@@ -168,12 +169,33 @@ def geo_to_pixel(spark, sf):
   FROM (SELECT det_id, radians(10.0 + minx * 0.0001) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(49.0 + miny * 0.0001) / 2)) * 6378137.0 AS y FROM detections)""")
 def mercator_roundtrip(spark, sf):
     b = boxes.to_degrees(boxes.box())
-    x, y = raster.to_mercator(b[0], b[1])
+    x, y = pj.to_mercator(pj.COLUMN, b[0], b[1])
     d = fx.detections(spark, sf).select("det_id", x.alias("x"), y.alias("y"))
-    lon, lat = raster.from_mercator(F.col("x"), F.col("y"))
+    lon, lat = pj.from_mercator(pj.COLUMN, F.col("x"), F.col("y"))
     return d.select("det_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
 
 
+_LONLAT = (pj.Sql("(10.0::DOUBLE + minx * 0.0001::DOUBLE)"), pj.Sql("(49.0::DOUBLE + miny * 0.0001::DOUBLE)"))
+
+
+@query("utm_roundtrip", f"SELECT det_id, round(x, 4) AS x, round(y, 4) AS y, round({pj.from_utm(pj.SQL, pj.Sql('x'), pj.Sql('y'), 32)[0].text}, 9) AS lon, round({pj.from_utm(pj.SQL, pj.Sql('x'), pj.Sql('y'), 32)[1].text}, 9) AS lat"
+       f" FROM (SELECT det_id, {pj.to_utm(pj.SQL, *_LONLAT, 32)[0].text} AS x, {pj.to_utm(pj.SQL, *_LONLAT, 32)[1].text} AS y FROM detections)")
+def utm_roundtrip(spark, sf):
+    b = boxes.to_degrees(boxes.box())
+    x, y = pj.reproject(pj.COLUMN, b[0], b[1], 4326, 32632)
+    d = fx.detections(spark, sf).select("det_id", x.alias("x"), y.alias("y"))
+    lon, lat = pj.reproject(pj.COLUMN, F.col("x"), F.col("y"), 32632, 4326)
+    return d.select("det_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+@query("clip_raster_ring", "SELECT r - 10 AS r, c - 5 AS c, CASE WHEN r BETWEEN 20 AND 39 AND c BETWEEN 20 AND 29 THEN 0.0 ELSE prob END AS prob FROM probs WHERE r BETWEEN 10 AND 89 AND c BETWEEN 5 AND 49", PIX)
+def clip_raster_ring(spark, sf):
+    """An area with a hole along cell borders, so no cell is touched from both sides."""
+    h = _height(spark, sf)
+    shell, hole = g.box(5, h - 90, 50, h - 10)[0][0], g.box(20, h - 40, 30, h - 20)[0][0][::-1]
+    return raster.clip_to_polygon(fx.pixels(spark, sf).select("r", "c", "prob"), _transform(spark, sf), [[shell, hole]], 3857, 3857, h, WIDTH)
+
+
 def _mask_tiles(spark, sf, least: float) -> DataFrame:
     """Probability tiles in which everything below ``least`` is 0.1."""
     d = _dense(spark, sf).withColumn("prob", F.when(F.col("prob") >= least, F.col("prob")).otherwise(F.when(F.col("valid"), F.lit(0.1)).otherwise(F.lit(0.0))))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthospark.functions import geodesic, geometry as g
+from orthospark.functions import geodesic, geometry as g, projections as pj
 from orthospark.operators import raster, vectorize
 from orthospark.operators.schema import Settings
 from orthospark.plans import jobs, pipeline
@@ -15,6 +15,31 @@ from orthospark.sources import geotiff, stac, tables, vector
 from orthospark.streaming import tiles as stream
 
 
+def test_projections():
+    x, y = pj.reproject(pj.NUMPY, np.array([3.0]), np.array([45.0]), 4326, 32631)
+    assert (x[0], y[0]) == (pytest.approx(500000.0, abs=1e-6), pytest.approx(0.9996 * 4984944.378, abs=1e-3))  # the meridian's length to 45 degrees
+    lon, lat = np.array([3.0, 5.9, 0.1]), np.array([0.0, 83.0, 45.0])
+    for srid in (32631, 3857):
+        a, b = pj.reproject(pj.NUMPY, *pj.reproject(pj.NUMPY, lon, lat, 4326, srid), srid, 4326)
+        assert a == pytest.approx(lon, abs=1e-9) and b == pytest.approx(lat, abs=1e-9)
+    x, y = pj.reproject(pj.NUMPY, np.array([3.0]), np.array([-45.0]), 4326, 32731)
+    assert x[0] == pytest.approx(500000) and 0 < y[0] < 10_000_000
+    with pytest.raises(ValueError):
+        pj.reproject(pj.NUMPY, lon, lat, 4326, 27700)
+    moved = pj.reproject_polygons(pj.reproject_polygons(g.box(10, 49, 11, 50), 4326, 3857), 3857, 4326)
+    assert np.allclose(moved, g.box(10, 49, 11, 50))
+
+
+def test_raster_clip_by_area(spark):
+    px = spark.range(100).select(F.floor(F.col("id") / 10).alias("r"), (F.col("id") % 10).alias("c"), F.lit(1.0).alias("v"))
+    t = raster.Affine.from_bounds(10.0, 49.0, 10.1, 49.1, 10, 10)
+    triangle = [[[(10.02, 49.02), (10.08, 49.02), (10.02, 49.08), (10.02, 49.02)]]]
+    out = raster.clip_to_polygon(px, t, pj.reproject_polygons(triangle, 4326, 3857), 3857, 4326, 10, 10).collect()
+    assert max(r.r for r in out) <= 6 and 20 <= sum(r.v for r in out) <= 35
+    with pytest.raises(ValueError):
+        raster.clip_to_polygon(px, t, g.box(0, 0, 1, 1), 4326, 4326, 10, 10)
+
+
 def test_tile_grid_of_a_square(spark):
     t = raster.tile_grid(spark, 1000, 1000, 512, 64).collect()
     assert len(t) == 9
