@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,8 +46,10 @@ def free_shuffles(spark: SparkSession) -> None:
 
     It follows the driver's garbage collection, which else may come much later than the files hurt.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 _RESIDENT: dict = {}

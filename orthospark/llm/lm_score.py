@@ -94,7 +94,8 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, chunk_words: int) -> Da
 class _Grams:
     """The n-grams of a chunk: distinct by document, distinct in all, and their places."""
 
-    def __init__(self, words: bytes, ids: bytes, lengths: bytes) -> None:
+    def __init__(self, words: bytes, ids: bytes, lengths: bytes, low: int = 0, high: int = 2**64) -> None:
+        """``low``, ``high``: hashes that ``grams`` and ``counts`` take."""
         dictionary = _unpress_sorted(words)
         h = dictionary[_unpress(ids, np.uint32)] if dictionary.size else dictionary
         coded = _unpress(lengths, np.int64)
@@ -125,6 +126,9 @@ class _Grams:
         self.own = np.concatenate(counts).astype(np.int32) if counts else np.zeros(0, np.int32)
         every = np.concatenate(distinct) if distinct else np.zeros(0, np.uint64)
         del distinct, counts
+        if low or high < 2**64:
+            mine = (every >= np.uint64(low)) & (every <= np.uint64(high - 1))
+            every, self.own = every[mine], self.own[mine]
         self.order = np.argsort(every)
         every = every[self.order]
         self.fresh = np.concatenate((np.ones(min(1, every.size), bool), every[1:] != every[:-1]))
@@ -156,25 +160,32 @@ class _Grams:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 2_200_000,
-          grams_a_part: int = 2_000_000) -> DataFrame:
+          grams_a_part: int = 2_000_000, rounds: int = 2) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score of every document."""
     state = checkpointed(_chunks(docs, id_col, text_col, chunk_words))
     n_words = state.agg(F.sum("n_words")).first()[0] or 0
     parts = max(shuffle_width(docs.sparkSession), -(-2 * n_words // grams_a_part))
 
-    def ask(batches):
-        release()
-        for b in batches:
-            for chunk, words, ids, lengths in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5))):
-                g = _Grams(words, ids, lengths)
-                counts = g.counts().astype(np.uint32)
-                edge = np.searchsorted(g.grams, (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)).tolist()
-                for p, (x, y) in enumerate(zip([0, *edge], [*edge, g.grams.size])):
-                    if y > x:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([p], pa.int32()), pa.array([chunk]), pa.array([_press_sorted(g.grams[x:y])]), pa.array([_press(counts[x:y])])],
-                            names=["part", "chunk", "grams", "counts"],
-                        )
+    edges = [k * 2**64 // parts for k in range(parts + 1)]
+
+    def ask_for(first: int, last: int):
+        """Questions to the parts first .. last - 1."""
+
+        def ask(batches):
+            release()
+            for b in batches:
+                for chunk, words, ids, lengths in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5))):
+                    g = _Grams(words, ids, lengths, edges[first], edges[last])
+                    counts = g.counts().astype(np.uint32)
+                    cuts = np.searchsorted(g.grams, np.array(edges[first + 1 : last], np.uint64)).tolist()
+                    for p, (x, y) in enumerate(zip([0, *cuts], [*cuts, g.grams.size]), first):
+                        if y > x:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([p], pa.int32()), pa.array([chunk]), pa.array([_press_sorted(g.grams[x:y])]), pa.array([_press(counts[x:y])])],
+                                names=["part", "chunk", "grams", "counts"],
+                            )
+
+        return ask
 
     def answer(key, t):
         grams = [_unpress_sorted(x) for x in t.column("grams").to_pylist()]
@@ -185,11 +196,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
         for chunk, x in zip(t.column("chunk").to_pylist(), np.split(total, cuts)):
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([key[0]], pa.int32()), pa.array([_press(x)])], names=["chunk", "part", "total"])
 
-    asked = state.mapInArrow(ask, "part int, chunk long, grams binary, counts binary")
-    # written, so that the questions' shuffle files, several times as large, can go
-    answers = checkpointed(grouped_stream(asked, ["part"], answer, "chunk long, part int, total binary", parts))
-    del asked
-    free_shuffles(docs.sparkSession)
+    # The hash space is asked in rounds whose answers are written, so that the questions' shuffle files,
+    # several times as large, take disk for one round at a time.
+    answers = None
+    for k in range(rounds):
+        first, last = k * parts // rounds, (k + 1) * parts // rounds
+        if first < last:
+            asked = state.mapInArrow(ask_for(first, last), "part int, chunk long, grams binary, counts binary")
+            got = checkpointed(grouped_stream(asked, ["part"], answer, "chunk long, part int, total binary", max(1, last - first)))
+            answers = got if answers is None else answers.unionByName(got)
+            del asked, got
+            free_shuffles(docs.sparkSession)
     nothing = F.lit(None).cast("binary")
     joined = answers.select("chunk", "part", "total", *[nothing.alias(c) for c in ("words", "ids", "docs", "lengths")]).unionByName(
         state.select("chunk", F.lit(-1).alias("part"), nothing.alias("total"), "words", "ids", "docs", "lengths")
