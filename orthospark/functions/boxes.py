@@ -36,14 +36,16 @@ def intersection(a, b) -> tuple[Column, Column, Column, Column]:
 
 def intersection_area(a, b) -> Column:
     i = intersection(a, b)
-    return F.when((i[2] > i[0]) & (i[3] > i[1]), area(i)).otherwise(F.lit(0))
+    return F.greatest(i[2] - i[0], F.lit(0)) * F.greatest(i[3] - i[1], F.lit(0))
 
 
 def iou(a, b) -> Column:
-    """Planar intersection over union; 0 for disjoint boxes and for an empty union."""
+    """Planar intersection over union; 0 for boxes without a common area.
+
+    Kept small: it is evaluated inside join conditions, whose generated code must stay compilable.
+    """
     both = intersection_area(a, b)
-    union = area(a) + area(b) - both
-    return F.when(union > 0, both.cast("double") / union.cast("double")).otherwise(F.lit(0.0))
+    return F.when(both > 0, both.cast("double") / (area(a) + area(b) - both).cast("double")).otherwise(F.lit(0.0))
 
 
 def center(b) -> tuple[Column, Column]:

@@ -29,9 +29,12 @@ def _exploded(df: DataFrame, b, cell: float, levels: list[int], side: str) -> Da
     return d.withColumn("__gy", F.explode(F.sequence(at(b[1]), at(b[3]))))
 
 
-def box_join(left: DataFrame, right: DataFrame, l_prefix: str, r_prefix: str, keys: list[tuple[str, str]] = (), cell: float | None = None) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, l_prefix: str, r_prefix: str, keys: list[tuple[str, str]] = (), cell: float | None = None, strategy: str | None = None) -> DataFrame:
     """All pairs of rows whose boxes overlap (closed) and whose ``keys`` are equal.
 
+    ``strategy``: a join hint. "merge" where both sides are large: estimates don't know how many rows the
+    grid adds, so a broadcast may look cheaper than it is, and it would keep few input files' few tasks.
+
     Columns of both sides must be distinct (use prefixes). ``cell``: edge of the finest cells;
     by default the 90th percentile of the left side's extents.
     """
@@ -51,7 +54,7 @@ def box_join(left: DataFrame, right: DataFrame, l_prefix: str, r_prefix: str, ke
     width = F.lit(cell) * F.pow(F.lit(2.0), F.col("__lv"))
     corner = boxes.intersection(lb, rb)
     home = (F.floor(corner[0] / width) == F.col("__gx")) & (F.floor(corner[1] / width) == F.col("__gy"))
-    pairs = a.join(b, on & (F.col("__lv") == F.greatest("__ownl", "__ownr")) & boxes.overlaps(lb, rb) & home)
+    pairs = a.join(b.hint(strategy) if strategy else b, on & (F.col("__lv") == F.greatest("__ownl", "__ownr")) & boxes.overlaps(lb, rb) & home)
     return pairs.select(*left.columns, *right.columns)
 
 
