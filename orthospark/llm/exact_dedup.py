@@ -5,8 +5,8 @@
    those that reach ``n / (counters + 1)`` are the candidates, at most ``counters + 1`` of
    them, and every digest in ``2 n / (counters + 1)`` rows or more is among them.
 3. An exact count over all rows verifies the candidates and finds their winners, which are
-   broadcast (their number is bounded by ``counters``): losing copies of frequent texts are
-   decided map-side and never shuffled.
+   broadcast (their number is bounded by ``counters``: 2048, or four times the shuffle
+   partitions): losing copies of frequent texts are decided map-side and never shuffled.
 4. All other digests are below ``2 n / (counters + 1)`` rows each and use an ordinary shuffle.
 
 Edge cases: a null text equals the empty text; a null id loses against every other id; of
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release, table, without
+from .common import checkpointed, release, shuffle_width, table, without
 
 RESULT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 _D, _K, _N, _L = "__xd_digest", "__xd_keep", "__xd_n", "__xd_lead"
@@ -41,6 +41,11 @@ def text_digest(column: str) -> Column:
     return digest(F.col(f"`{column}`").cast("string"))
 
 
+def default_counters(spark: SparkSession) -> int:
+    """So many that a digest which isn't heavy fills half a shuffle partition's fair share at most."""
+    return max(2048, 4 * shuffle_width(spark))
+
+
 def misra_gries(digests: DataFrame, counters: int) -> DataFrame:
     """Candidates for heavy digests: ``digest``, at most ``counters + 1`` rows."""
 
@@ -92,15 +97,17 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return checkpointed(docs.select(F.col(f"`{id_col}`").alias("__xd_id"), text_digest(text_col).alias(_D)))
 
 
-def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 2048) -> DataFrame:
+def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    counters = counters or default_counters(docs.sparkSession)
     digests = _digests(docs, id_col, text_col)
     out = _decide(digests, digests, "__xd_id", counters)
     return out.select(F.col("__xd_id").alias("doc_id"), "keep_id", F.col("group_size").cast("long"), "kept", F.lower(F.hex(_D)).alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 2048) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
+    counters = counters or default_counters(docs.sparkSession)
     rows = without(docs, ["keep_id", "group_size", "kept", _D, _K, _N, _L]).withColumn(_D, text_digest(text_col))
     out = _decide(rows, _digests(docs, id_col, text_col), id_col, counters).where("kept")
     return out.drop(_D, "keep_id", "group_size", "kept")
