@@ -132,6 +132,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, cap: int, id_col: str, text_col:
                     arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cols[5]], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        enc.rest()
 
     return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 

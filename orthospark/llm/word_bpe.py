@@ -31,7 +31,7 @@ _BYTES = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in r
 class WordEncoder(dict):
     """Word -> ids as little-endian unsigned 32-bit bytes. Holds at most ``3 * most`` entries."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -67,6 +67,10 @@ class WordEncoder(dict):
         self[word] = ids
         return ids
 
+    def rest(self) -> None:
+        """Between tasks only the newer words and the pre-tokens stay."""
+        self.old = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self) > self.most:
