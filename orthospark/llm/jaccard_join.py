@@ -19,8 +19,8 @@ drops a partner. A pair that meets in several leaves is compared exactly in the
 smallest id only. First the leaves are compared by 64-byte sketches, to find which documents have
 a partner at all; only those get their full sets, and every link is decided by the exact Jaccard
 similarity of the sets. Pairs are never written: a block returns counts a class and a star of
-edges to the least linked class, from which components are found by label propagation with
-pointer jumping.
+edges to the least linked class, from which components are found by hooking, pointer jumping and
+contraction.
 
 Result of ``jaccard_join``: one row per document with class_id (the least id in its connected component of links), set_id
 (the least id of the documents with an equal set), and n_links (documents with similarity at
@@ -284,25 +284,36 @@ def _links(rows: DataFrame, threshold: float) -> DataFrame:
     return grouped_stream(rows, ["leaf", "p", "q"], compare, "cid binary, links long, least binary")
 
 
+def _undirected(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (hi, lo) of different labels x and y."""
+    return pairs.where("x != y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct()
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cid, label): the least label of each node's connected component.
 
-    ``edges``: a, b; ``nodes``: cid, label (distinct). Minimum labels travel along edges and
-    along labels themselves (pointer jumping), so long chains take logarithmically many rounds.
+    ``edges``: a, b; ``nodes``: cid, label. Each round, a label with smaller neighbours hooks on the
+    least of them, pointer jumping takes all to their trees' roots, and edges are contracted to
+    edges between roots, of which few are left after the first round.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = checkpointed(nodes.select("cid", F.col("label").alias("own"), "label"))
-    while True:
-        sent = both.join(now.select(F.col("cid").alias("a"), "label"), "a").select(F.col("b").alias("cid"), "label")
-        jump = now.join(now.select(F.col("own").alias("label"), F.col("label").alias("next")), "label").select("cid", F.col("next").alias("label"))
-        low = sent.unionByName(jump).groupBy("cid").agg(F.min("label").alias("new"))
-        then = checkpointed(
-            now.join(low, "cid", "left").select("cid", "own", F.least("label", F.coalesce("new", "label")).alias("label"), (F.col("new") < F.col("label")).alias("moved"))
-        )
-        moved = not then.where("moved").isEmpty()
-        now = then.drop("moved")
-        if not moved:
-            return now.select("cid", "label")
+    now = checkpointed(nodes.select("cid", "label"))
+    ends = edges.join(now.select(F.col("cid").alias("a"), F.col("label").alias("x")), "a")
+    ends = ends.join(now.select(F.col("cid").alias("b"), F.col("label").alias("y")), "b")
+    e = checkpointed(_undirected(ends))
+    while not e.isEmpty():
+        parent = checkpointed(e.groupBy("hi").agg(F.min("lo").alias("p")))
+        moved = True
+        while moved:
+            up = parent.select(F.col("hi").alias("p"), F.col("p").alias("pp"))
+            then = checkpointed(parent.join(up, "p", "left").select("hi", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+            moved = not then.where("moved").isEmpty()
+            parent = then.drop("moved")
+        one = e.join(parent.select("hi", F.col("p").alias("x")), "hi")
+        two = one.join(parent.select(F.col("hi").alias("lo"), F.col("p").alias("y")), "lo", "left")
+        e = checkpointed(_undirected(two.select("x", F.coalesce("y", "lo").alias("y"))))
+        root = parent.select(F.col("hi").alias("label"), F.col("p").alias("root"))
+        now = checkpointed(now.join(root, "label", "left").select("cid", F.coalesce("root", "label").alias("label")))
+    return now
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128,
