@@ -6,9 +6,11 @@ below it (and LCb, Cb of the body), the link-adjusted density is
     C/T * log(C/LC * T/LT) to the base ln(C/(C-LC) * LC + LCb/Cb * C + e).
 
 The node with the greatest sum of its children's densities is found first. The threshold is the
-least density on the path from it to the body; every node that reaches it contributes the node
-of the greatest density sum below it, and the selected subtree is the smallest one that holds
-all of those (an enclosing ``article`` or ``main`` bounds it). Menus, headers, footers, sidebars, notices,
+least density on the path from it to the body, or to the outermost ``article`` or ``main`` on it; every node that reaches it contributes the node
+of the greatest density sum below it (an ``article`` reaches it by its own sum), and the selected
+subtree is the smallest one that holds all of those. Where the densest node stands in the page's
+only ``main``, nodes outside of it don't count. A subtree inside an ``article`` or ``main`` grows to
+the whole outermost one, whose title and short blocks lie below the threshold. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are cut by element, role and class name
 before densities are taken.
 
@@ -201,10 +203,10 @@ def select(root: _Node) -> _Node:
     if best.total <= 0:
         return body
     path = _path(best)
-    bound = next((x for x in reversed(path) if x.tag in ("article", "main")), None)
-    if bound is not None:
-        return bound
-    inside = path[: path.index(body) + 1] if body in path else path
+    mains = [x for x in nodes if x.tag == "main"]
+    limit = mains[0] if len(mains) == 1 and mains[0] in path else body
+    end = next((x for x in reversed(path) if x.tag in ("article", "main")), body)
+    inside = path[: path.index(end) + 1] if end in path else path
     threshold = min(x.density for x in inside)
     top: dict[int, _Node] = {}  # node -> the node of the greatest sum below or at it
     for x in reversed(nodes):
@@ -214,12 +216,14 @@ def select(root: _Node) -> _Node:
                 t = top[id(k)]
         top[id(x)] = t
     common = path
-    for x in nodes:
-        if x.density >= threshold and x.tag in BLOCK and x is not body and x is not root and x.chars > 2 * x.lchars:
+    for x in nodes if limit is body else _order(limit):
+        reached = x.total if x.tag == "article" else x.density
+        if reached >= threshold and x.tag in BLOCK and x is not body and x is not root and x.chars > 2 * x.lchars:
             y = top[id(x)] if top[id(x)].total > 0 else x
             mine = {id(z) for z in _path(y)}
             common = [z for z in common if id(z) in mine]
-    return common[0] if common else body
+    found = common[0] if common else body
+    return next((x for x in reversed(_path(found)) if x.tag in ("article", "main")), found)
 
 
 def _linked(x: _Node) -> bool:

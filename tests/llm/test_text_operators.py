@@ -73,6 +73,33 @@ def test_page_without_an_article_element():
     assert html_extract.main_text(page) == f"{one} Part {one}"
 
 
+def paragraphs(name, n):
+    return [f"{name} paragraph {i} has enough words in it to be as dense as any other text of this page." for i in range(n)]
+
+
+def test_sibling_articles_are_all_extracted():
+    for sizes in ((4, 4), (5, 2), (2, 6, 3)):
+        texts = [paragraphs(f"Story{k}", n) for k, n in enumerate(sizes)]
+        page = "".join(f"<article><h2>Title {k}</h2>" + "".join(f"<p>{t}</p>" for t in ts) + "</article>" for k, ts in enumerate(texts))
+        want = " ".join(f"Title {k} " + " ".join(ts) for k, ts in enumerate(texts))
+        assert html_extract.main_text(f"<body><nav>Menu</nav><div>{page}</div><footer>x</footer></body>") == want
+
+
+def test_text_beside_an_article_is_extracted():
+    one, two = paragraphs("First", 4), paragraphs("Second", 4)
+    ps = ["".join(f"<p>{t}</p>" for t in ts) for ts in (one, two)]
+    assert html_extract.main_text(f"<body><article>{ps[0]}</article><section>{ps[1]}</section></body>") == " ".join(one + two)
+
+
+def test_main_with_extra_blocks():
+    one, two = paragraphs("First", 4), paragraphs("Second", 2)
+    ps = ["".join(f"<p>{t}</p>" for t in ts) for ts in (one, two)]
+    page = f"<body><main><h1>Title</h1><p>Lead.</p><article>{ps[0]}</article><section>{ps[1]}</section></main><footer>x</footer></body>"
+    assert html_extract.main_text(page) == " ".join(["Title Lead.", *one, *two])
+    cards = "".join(f"<article><a href=x>Story {i}</a><p>Teaser {i}.</p></article>" for i in range(3))
+    assert html_extract.main_text(f"<body><article><h1>Title</h1>{ps[0]}</article><div>{cards}</div></body>") == " ".join(["Title", *one])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/abp &;!-=\"' \n", max_size=60))
 def test_any_markup_is_tolerated(page):
