@@ -12,7 +12,11 @@ subtree is the smallest one that holds all of those. Where the densest node stan
 only ``main``, nodes outside of it don't count. A subtree inside an ``article`` or ``main`` grows to
 the whole outermost one, whose title and short blocks lie below the threshold. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments are cut by element, role and class name
-before densities are taken.
+before densities are taken. A class word doesn't cut an element that holds the ``main`` or a large
+``article``, nor (comments aside) most of the page's text where there is no article or the word is
+only a part of a name, and a class of a state (``no-sidebar``, ``has-header``) cuts nothing; if class
+words would leave no text at all, they are not used. Lists of links go only outside of articles
+and where no text or heading precedes them in their parent.
 
 Text: character references decoded, white space inside a block as one space, blocks in page
 order joined by one space; nothing is capped. Edge cases: null or text-free html gives an empty
@@ -64,40 +68,57 @@ NOISE = frozenset(
     "subscription signup login social share sharing related recommended recommendations comment comments disqus respond reply replies widget "
     "widgets pagination pager toolbar copyright disclaimer complementary contentinfo search skip".split()
 )
+#: Noise words of reader comments.
+TALK = frozenset("comment comments disqus respond reply replies".split())
+#: A class that holds one of these words tells a state of the page, not what the element is.
+STATE = frozenset("no not non has have with without enabled disabled open opened closed on off collapsed expanded visible".split())
+#: Elements whose text is followed by lists that belong to it.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 KEEP = frozenset(("article", "main", "body", "html"))
+#: Kinds of noise: by a class word, by one that may be part of a name, by a word of comments, by element or hidden.
+NAMED, PARTLY, TALKED, HARD = 1, 2, 3, 4
 _E = math.e
 
 
 class _Node:
-    __slots__ = ("tag", "up", "kids", "noise", "chars", "tags", "lchars", "ltags", "density", "total")
+    __slots__ = ("tag", "up", "kids", "noise", "own", "size", "links", "holds", "chars", "tags", "lchars", "ltags", "density", "total")
 
-    def __init__(self, tag: str, up: "_Node | None", noise: bool) -> None:
+    def __init__(self, tag: str, up: "_Node | None", noise: int) -> None:
         self.tag, self.up, self.kids, self.noise = tag, up, [], noise
+        self.own = self.size = self.links = self.holds = 0
         self.chars = self.tags = self.lchars = self.ltags = 0
         self.density = self.total = 0.0
 
 
-def _is_noise(tag: str, attrs: str) -> bool:
+def _noise(tag: str, attrs: str) -> int:
+    """The kind of noise that an element is by itself, or 0."""
     if tag in CUT:
-        return True
+        return HARD
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return 0
+    kind = 0
     for name, a, b, c in _ATTR.findall(attrs):
         name = name.lower()
         if name in ("class", "id", "role"):
-            words = _WORD.findall((a or b or c).lower())
-            if any(w in NOISE for w in words):
-                return not (tag == "article" and not {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"} & set(words))
+            for token in (a or b or c).lower().split():
+                words = set(_WORD.findall(token))
+                hit = words & NOISE
+                if not hit or words & STATE or tag == "article" and not hit & _CARD:
+                    continue
+                kind = max(kind, TALKED) if hit & TALK else kind if kind in (NAMED, TALKED) else NAMED if hit == words else PARTLY
         elif name == "hidden" or name == "aria-hidden" and (a or b or c).lower() == "true":
-            return True
+            return HARD
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a or b or c, re.I):
-            return True
-    return False
+            return HARD
+    return kind
+
+
+_CARD = frozenset("comment comments reply ad ads advert sponsored promo related".split())
 
 
 def parse(page: str) -> _Node:
     """A tolerant DOM: children are nodes or strings (decoded text)."""
-    root = _Node("html", None, False)
+    root = _Node("html", None, 0)
     node, at, n = root, 0, len(page)
     add_text = lambda s: node.kids.append(_html.unescape(s) if "&" in s else s)
     while at < n:
@@ -123,7 +144,7 @@ def parse(page: str) -> _Node:
             if x.tag == tag and x is not root:
                 node = x.up
             elif tag == "p":
-                node.kids.append(_Node("p", node, False))
+                node.kids.append(_Node("p", node, 0))
             continue
         if tag == "html":
             continue
@@ -142,7 +163,7 @@ def parse(page: str) -> _Node:
                 x = x.up
             if x.tag == "p":
                 node = x.up
-        new = _Node(tag, node, _is_noise(tag, m[3]))
+        new = _Node(tag, node, _noise(tag, m[3]))
         node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -153,25 +174,60 @@ def parse(page: str) -> _Node:
     return root
 
 
-def _order(root: _Node) -> list[_Node]:
-    """All nodes that are not cut, parents first."""
+def _order(root: _Node, least: int = NAMED) -> list[_Node]:
+    """All nodes that are not cut (as noise of kind ``least`` or above), parents first."""
     out, i = [root], 0
     while i < len(out):
-        out += [k for k in out[i].kids if type(k) is _Node and not k.noise]
+        out += [k for k in out[i].kids if type(k) is _Node and k.noise < least]
         i += 1
     return out
 
 
-def _measure(nodes: list[_Node], body: _Node) -> None:
+def _spare(root: _Node) -> None:
+    """Take back noise by class where it holds the article or most of the page's text."""
+    nodes = _order(root, HARD)
     for x in reversed(nodes):
         for k in x.kids:
             if type(k) is str:
-                x.chars += len("".join(k.split()))
-            elif not k.noise:
+                x.own += len("".join(k.split()))
+            elif k.noise < TALKED:
+                x.size += k.size
+                x.links += k.links
+        x.size += x.own
+        if x.tag == "a":
+            x.links = x.size
+    if not any(x.noise for x in nodes):
+        return
+    hearts = [x for x in nodes if x.tag in ("article", "main") and not x.noise and x.size]
+    most = max((x.size for x in hearts), default=0)
+    hearts = [x for x in hearts if 2 * x.size >= most]
+    for h in hearts:
+        for x in _path(h):
+            x.holds += 1
+    for x in nodes:
+        if not x.noise:
+            continue
+        if x.noise == TALKED:
+            spared = 0 < len(hearts) == x.holds
+        else:
+            large = 2 * x.size > root.size and 2 * x.links <= x.size
+            spared = x.holds or large and (x.noise == PARTLY or not hearts)
+        if spared:
+            x.noise = 0
+    if not any(x.own for x in _order(root)):  # nothing is left
+        for x in nodes:
+            x.noise = 0
+
+
+def _measure(nodes: list[_Node], body: _Node) -> None:
+    for x in reversed(nodes):
+        for k in x.kids:
+            if type(k) is _Node and not k.noise:
                 x.chars += k.chars
                 x.tags += k.tags + 1
                 x.lchars += k.lchars
                 x.ltags += k.ltags + (k.tag == "a")
+        x.chars += x.own
         if x.tag == "a":
             x.lchars, x.ltags = x.chars, x.tags
     share = body.lchars / body.chars if body.chars else 0.0
@@ -196,6 +252,7 @@ def _path(x: _Node) -> list[_Node]:
 
 def select(root: _Node) -> _Node:
     """The subtree that holds the main text."""
+    _spare(root)
     nodes = _order(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     _measure(nodes, body)
@@ -227,8 +284,17 @@ def select(root: _Node) -> _Node:
 
 
 def _linked(x: _Node) -> bool:
-    """A list of links, as menus without a telling name are."""
-    return x.tag in ("ul", "ol", "div", "section", "dl", "table") and x.ltags >= 3 and 2 * x.lchars > x.chars
+    """A list of links, as menus without a telling name are; not in an article or after text of its own parent."""
+    if x.tag not in ("ul", "ol", "div", "section", "dl", "table") or x.ltags < 3 or 2 * x.lchars <= x.chars:
+        return False
+    if x.holds or any(z.tag == "article" for z in _path(x)):
+        return False
+    for k in x.up.kids:
+        if k is x:
+            return True
+        if type(k) is _Node and k.tag in FLOW and not k.noise and k.chars > 2 * k.lchars:
+            return False
+    return True
 
 
 def collect(x: _Node) -> str:
@@ -250,7 +316,7 @@ def collect(x: _Node) -> str:
     return " ".join("".join(parts).split())
 
 
-_BREAK = _Node("\n", None, False)
+_BREAK = _Node("\n", None, 0)
 
 
 def main_text(page: str | None) -> str:

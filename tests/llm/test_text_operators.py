@@ -100,6 +100,30 @@ def test_main_with_extra_blocks():
     assert html_extract.main_text(f"<body><article><h1>Title</h1>{ps[0]}</article><div>{cards}</div></body>") == " ".join(["Title", *one])
 
 
+def test_class_words_dont_cut_the_article():
+    ts = paragraphs("Story", 4)
+    ps, want = "".join(f"<p>{t}</p>" for t in ts), " ".join(ts)
+    for attrs in ("class='site no-sidebar'", "id='page' class='has-header'", "class='layout search-enabled'", "class=widget", "class='post-with-comments'", "class='comments-wrapper'", "id=overlay-root"):
+        for tag in ("article", "main", "div"):
+            page = f"<body><div class=ad>Buy now</div><div {attrs}><{tag}>{ps}</{tag}><div class=sidebar>Side</div></div><p>x</p></body>"
+            if tag != "div" or "comments-" not in attrs:
+                assert html_extract.main_text(page).removesuffix(" x") == want, (attrs, tag)
+    assert html_extract.main_text(f"<body><section id=comments>{ps}</section></body>") == want  # nothing else is left
+    long = "".join(f"<p>{t}</p>" for t in paragraphs("Reader", 9))
+    assert html_extract.main_text(f"<body><article>{ps}</article><section id=comments>{long}</section><div class=related>{long}</div></body>") == want
+
+
+def test_link_lists_of_an_article_stay():
+    ts = paragraphs("Story", 4)
+    ps = "".join(f"<p>{t}</p>" for t in ts)
+    links = "".join(f"<li><a href={i}>Source number {i}</a></li>" for i in range(4))
+    table = "".join(f"<tr><td><a href={i}>Cell {i}</a></td></tr>" for i in range(4))
+    want = " ".join([*ts, "Sources", *(f"Source number {i}" for i in range(4)), *(f"Cell {i}" for i in range(4))])
+    for tag in ("article", "main", "div"):
+        page = f"<body><ul>{links}</ul><{tag}>{ps}<h2>Sources</h2><ul>{links}</ul><table>{table}</table><ul class=menu>{links}</ul></{tag}></body>"
+        assert html_extract.main_text(page) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/abp &;!-=\"' \n", max_size=60))
 def test_any_markup_is_tolerated(page):
