@@ -24,10 +24,11 @@ contraction.
 
 Result of ``jaccard_join``: one row per document with class_id (the least id in its connected component of links), set_id
 (the least id of the documents with an equal set), and n_links (documents with similarity at
-least the threshold, equal sets included, itself not).
+least the threshold, equal sets included, itself not). Components are labelled by digests of sets, so
+repeated or null ids neither join nor part them.
 
-Edge cases: null or wordless text has an empty set and links to nothing; null ids are treated as
-one value less than all others; repeated rows are copies of each other; an empty table gives an
+Edge cases: null or wordless text has an empty set and links to nothing; null ids are passed
+over by the least id, which is null where all ids are; repeated rows are copies of each other; an empty table gives an
 empty result; columns beside id and text are not read.
 """
 
@@ -95,6 +96,11 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.uint64).reshape(-1, POSITIONS)
 
 
+def digest(s: np.ndarray) -> bytes | None:
+    """16 bytes that tell sets apart; null for the empty set."""
+    return s.sum(dtype=np.uint64).tobytes() + mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).tobytes() if s.size else None
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, cid (digest of the set, 16 bytes), n (size), sig (512 bytes) of documents with words; others have no cid."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
@@ -106,13 +112,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
             for t in strings(b.column(1)):
                 s = shingle_set(t, width)
                 n.append(s.size)
-                if s.size:
-                    h = mix64(s ^ np.uint64(0x5851F42D4C957F2D))
-                    cid.append(s.sum(dtype=np.uint64).tobytes() + h.sum(dtype=np.uint64).tobytes())
-                    sig.append(minhash(s).tobytes())
-                else:
-                    cid.append(None)
-                    sig.append(None)
+                cid.append(digest(s))
+                sig.append(minhash(s).tobytes() if s.size else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cid, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], names=["id", "cid", "n", "sig"])
 
     return rows.mapInArrow(run, "id long, cid binary, n int, sig binary")
@@ -316,9 +317,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return now
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, set_id, n_links. ``recall``: target for each link."""
+def _solve(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128,
+           id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, cid) of all documents, and (cid, label, weight, root, component, links) of all sets.
+
+    ``label``: least id of a set; ``root``: the least digest of its component, null where nothing
+    is linked; ``component``: the least id of the component.
+    """
     parts = shuffle_width(docs.sparkSession)
     sets = checkpointed(_sets(docs, id_col, text_col, width))
     classes = (
@@ -356,12 +361,21 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall
     full = _full_sets(docs, owners, id_col, text_col, width)
     rows = wanted.join(known, "cid").join(full, "cid")
     found = checkpointed(_links(rows, threshold))
-    nodes = checkpointed(found.select("cid").unionByName(found.select(F.col("least").alias("cid"))).distinct().join(classes.select("cid", "label"), "cid"))
-    labels = components(found.where("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b")), nodes)
+    nodes = found.select("cid").unionByName(found.select(F.col("least").alias("cid"))).distinct().select("cid", F.col("cid").alias("label"))
+    roots = components(found.where("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b")), nodes)
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    linked = labels.join(counts, "cid", "left").select("cid", F.col("label").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    linked = roots.withColumnRenamed("label", "root").join(classes.select("cid", "label"), "cid")
+    least = linked.groupBy("root").agg(F.min("label").alias("component"))
+    linked = linked.drop("label").join(least, "root").join(counts, "cid", "left").select("cid", "root", "component", F.coalesce("links", F.lit(0)).alias("links"))
     about = checkpointed(classes.select("cid", "label", "weight").join(linked, "cid", "left"))
-    out = sets.select("id", "cid").join(about, "cid", "left")
+    return sets.select("id", "cid"), about
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128,
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id, set_id, n_links. ``recall``: target for each link."""
+    sets, about = _solve(docs, threshold, width, recall, limit, id_col, text_col)
+    out = sets.join(about, "cid", "left")
     return out.select(
         F.col("id").alias("doc_id"),
         F.coalesce("component", "label", "id").alias("class_id"),
@@ -376,32 +390,54 @@ def _full_sets(docs: DataFrame, owners: DataFrame, id_col: str, text_col: str, w
     The ids are broadcast only up to ``broadcast_rows`` (a few MB); beyond that, an ordinary join.
     """
     owners = checkpointed(owners)
-    side = owners
-    if owners.count() <= broadcast_rows:
-        side = F.broadcast(owners)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    rows = rows.join(side, rows["id"].eqNullSafe(side["id"])).select("cid", "t")
+    small = owners.count() <= broadcast_rows
+    side = lambda c: F.broadcast(owners.select(c)) if small else owners.select(c)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("t_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    rows = rows.join(side("id").distinct(), F.col("t_id").eqNullSafe(F.col("id")), "left_semi").select("t")
 
     def run(batches):
         release()
         for b in batches:
-            cid, out = [], []
-            for c, t in zip(b.column(0).to_pylist(), strings(b.column(1))):
-                s = shingle_set(t, width)
-                h = mix64(s ^ np.uint64(0x5851F42D4C957F2D))
-                if c == s.sum(dtype=np.uint64).tobytes() + h.sum(dtype=np.uint64).tobytes():  # an id may be repeated with other texts
-                    cid.append(c)
-                    out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), pa.array(out, pa.binary())], names=["cid", "shingles"])
+            sets = [s for s in (shingle_set(t, width) for t in strings(b.column(0))) if s.size]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "shingles"]
+            )
 
-    return checkpointed(rows.mapInArrow(run, "cid binary, shingles binary").dropDuplicates(["cid"]))
+    # an id may be repeated with other texts
+    found = rows.mapInArrow(run, "cid binary, shingles binary").join(side("cid"), "cid", "left_semi")
+    return checkpointed(found.dropDuplicates(["cid"]))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one document whose id is the class id."""
-    classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    drop = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__nd_id")).distinct()
-    return docs.join(drop, docs[f"`{id_col}`"].eqNullSafe(F.col("__nd_id")), "left_anti")
+    """The rows of ``docs`` that stay: all without words, and one of each class.
+
+    That is a row of the least id (null ids last) and, among those, of the least digest; rows are told
+    apart by id and digest, so that a repeated or null id takes no other row along. Rows equal in
+    both are copies, of which any one stays.
+    """
+    sets, about = _solve(docs, id_col=id_col, text_col=text_col, **options)
+    # only sets of more than one row or with links lose rows
+    shared = about.where("weight > 1 OR root IS NOT NULL").select("cid", F.coalesce("root", "cid").alias("root"))
+    rows = checkpointed(sets.join(shared, "cid").groupBy("root", "cid", "id").agg(F.count(F.lit(1)).alias("n")))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "cid", "n")
+    first = checkpointed(rows.groupBy("root").agg(F.min(rank).alias("first")).select("first.id", "first.cid", "first.n"))
+    names = [f"`{c}`" for c in docs.columns]
+    width = options.get("width", 5)
+
+    @F.arrow_udf("binary")
+    def digests(texts: pa.Array) -> pa.Array:
+        return pa.array([digest(shingle_set(t, width)) for t in strings(texts)], pa.binary())
+
+    known = docs.withColumn("__nd_id", F.col(f"`{id_col}`").cast("long")).withColumn("__nd_cid", digests(F.col(f"`{text_col}`").cast("string")))
+    same = lambda side: (F.col("__nd_cid") == side["cid"]) & F.col("__nd_id").eqNullSafe(side["id"])
+    pairs = rows.select("cid", "id")
+    drop = pairs.join(first.select("cid", F.col("id").alias("__id")), (pairs["cid"] == first["cid"]) & pairs["id"].eqNullSafe(F.col("__id")), "left_anti")
+    kept = known.join(drop, same(drop), "left_anti")
+    copies = first.where("n > 1").select("cid", "id")
+    if copies.isEmpty():
+        return kept.select(*names)
+    one = kept.join(copies, same(copies), "left_semi").dropDuplicates(["__nd_cid", "__nd_id"])
+    return kept.join(copies, same(copies), "left_anti").unionByName(one).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

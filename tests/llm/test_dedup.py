@@ -124,6 +124,53 @@ def test_near_dedup_keeps_unlinked_and_one_of_each_class(corpus):
     assert {r.doc_id for r in out.collect()} == want
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    def text(seed, change=None):
+        rng = random.Random(seed)
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+        return " ".join(w if change is None else [*w[:-1], change])
+
+    rows = [
+        (9, text(1)), (9, text(2)), (3, text(1, "x")),  # a clean row of a dropped id
+        (5, text(3)), (None, text(3)), (None, text(4)), (None, ""), (None, "!"),  # clean rows with a null id
+        (7, text(5)), (7, text(5, "x")), (7, text(5)),  # near and exact copies of one id
+        (None, text(6)), (None, text(6, "x")), (None, text(6, "y")),  # a class without ids
+        (9, text(7)), (8, text(7, "x")), (9, text(8)), (8, text(8, "x")),  # two classes of the same ids
+    ]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int").repartition(5)
+    got = [r.k for r in J.near_dedup(df, limit=4).collect()]
+    assert sorted(k for k in got if k < 8) == [1, 2, 3, 5, 6, 7]
+    for group in ({8, 9, 10}, {11, 12, 13}):
+        assert len(group & set(got)) == 1
+    assert sorted(k for k in got if k > 13) == [15, 17]
+    links = Counter((r.doc_id, r.n_links, r.class_id) for r in J.jaccard_join(df, limit=4).collect())
+    assert links == Counter(brute(rows))
+
+
+def test_near_dedup_of_the_whole_corpus(corpus):
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    sets = [shingle(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                parent[find(a)] = find(b)
+    groups = defaultdict(list)
+    for a, (i, t) in enumerate(rows):
+        groups[find(a)].append((i is None, i or 0))
+    want = Counter(min(g)[:2] for g in groups.values())
+    got = J.near_dedup(corpus)
+    assert got.columns == corpus.columns
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == want
+
+
 def test_components_of_a_chain(spark):
     from orthospark.llm.jaccard_join import components
 
