@@ -180,5 +180,21 @@ def test_components_of_a_chain(spark):
     assert got == {bytes([i]): 60 for i in range(41)} | {b"\xf0": 500, b"\xf1": 500}
 
 
+def test_sketches_and_runs_together_reach_the_recall():
+    from math import comb
+
+    def found(k, depth=J.MAX_DEPTH):  # k of the positions agree, a node draws two different ones
+        both, one = k * (k - 1) / (J.POSITIONS * (J.POSITIONS - 1)), 2 * k * (J.POSITIONS - k) / (J.POSITIONS * (J.POSITIONS - 1))
+        q = 1.0
+        for _ in range(depth):
+            q = both * (1 - (1 - q) ** 2) + one * q
+        return q
+
+    for j in (0.8, 0.85, 0.9):
+        runs, least = J.runs_for(0.9999, 0.8), J.sketch_cutoff(0.8)
+        miss = sum(comb(J.POSITIONS, k) * j**k * (1 - j) ** (J.POSITIONS - k) * (1 if k < least else (1 - found(k)) ** runs) for k in range(J.POSITIONS + 1))
+        assert miss <= 1e-4
+
+
 def test_runs_reach_the_recall():
     assert J.runs_for(0.9999, 0.8) == 4 and J.runs_for(0.9, 0.8) == 1
