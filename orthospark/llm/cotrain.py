@@ -19,6 +19,7 @@ empty result; input columns named like a result column are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,21 +85,22 @@ def _matrix(texts: pa.Array, langs: pa.Array, sources: pa.Array, sizes: pa.Array
     return x, z
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Weights (bias last) of a ridge logistic model, by damped Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 40, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights (bias last) of a ridge logistic model, by damped Newton steps; ``counts``: rows that each row stands for."""
+    c = np.ones(len(x)) if counts is None else counts
     a = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
     w = np.zeros(a.shape[1])
     ridge = np.full(a.shape[1], l2)
     ridge[-1] = 1e-6
 
     def loss(v: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(2 * y - 1) * (a @ v)).sum() + 0.5 * (ridge * v * v).sum())
+        return float((c * np.logaddexp(0, -(2 * y - 1) * (a @ v))).sum() + 0.5 * (ridge * v * v).sum())
 
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        g = a.T @ (p - y) + ridge * w
-        h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(ridge)
+        g = a.T @ (c * (p - y)) + ridge * w
+        h = (a * (c * (p * (1 - p) + 1e-9))[:, None]).T @ a + np.diag(ridge)
         step = np.linalg.solve(h, g)
         size = 1.0
         while size > 1e-3 and (then := loss(w - size * step)) > now:
@@ -185,16 +187,23 @@ def _about(df: DataFrame, hash_col: str, n: int, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = 3, confidence: float = 0.97, max_labelled: int = 20_000,
           max_pseudo: int = 4_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit both views by co-training. ``confidence``: calibrated probability of a pseudo-label."""
+    """Fit both views by co-training. ``confidence``: calibrated probability of a pseudo-label.
+
+    ``max_labelled`` and ``max_pseudo`` bound the rows on the driver; each stands for its share of all
+    rows of its kind, so that the fits follow the counts over all documents at every size.
+    """
     marked = (
         labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull()).groupBy("id").agg(F.max("y").alias("y"))
         .withColumn("lh", F.xxhash64("id"))
     )
-    marked = _about(marked, "lh", marked.count(), max_labelled).select("id", "y")
+    n_marked = marked.count()
+    marked = _about(marked, "lh", n_marked, max_labelled).select("id", "y")
+    n_kept = n_marked if n_marked <= max_labelled else marked.count()
     features = checkpointed(_features(docs, id_col, text_col))
     found = features.join(F.broadcast(marked), "id").select("id", "x", "z", "y", "h")
-    known = _about(found, "h", found.count(), max_labelled).collect()
+    n_found = found.count()
+    known = _about(found, "h", n_found, max_labelled).collect()
     y = np.array([r["y"] for r in known], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(None, None, None, None, float(y.mean()) if len(y) else 1.0)
@@ -205,11 +214,13 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 3, confidence: float
         fit = held
     else:
         fit = ~held
-    extra: list[list] = [[np.zeros((0, CONTENT)), np.zeros(0)], [np.zeros((0, META)), np.zeros(0)]]
+    each = n_marked / n_kept * n_found / len(y)  # labelled rows that a collected one stands for
+    own = np.full(int(fit.sum()), each)
+    extra: list[list] = [[np.zeros((0, CONTENT)), np.zeros(0), np.zeros(0)], [np.zeros((0, META)), np.zeros(0), np.zeros(0)]]
     spark = docs.sparkSession
     for turn in range(rounds + 1):
-        content = fit_logistic(np.vstack([x[fit], extra[0][0]]), np.concatenate([y[fit], extra[0][1]]), l2=0.1)
-        metadata = fit_logistic(np.vstack([z[fit], extra[1][0]]), np.concatenate([y[fit], extra[1][1]]), l2=1.0)
+        content = fit_logistic(np.vstack([x[fit], extra[0][0]]), np.concatenate([y[fit], extra[0][1]]), l2=0.1, counts=np.concatenate([own, extra[0][2]]))
+        metadata = fit_logistic(np.vstack([z[fit], extra[1][0]]), np.concatenate([y[fit], extra[1][1]]), l2=1.0, counts=np.concatenate([own, extra[1][2]]))
         raw = [_logit(x[held], content), _logit(z[held], metadata)]
         scale = np.array([fit_logistic(r[:, None] / (s := max(1e-6, np.abs(r).max())), y[held], l2=0.5) / np.array([s, 1.0]) for r in raw])
         scale[:, 0] = np.maximum(scale[:, 0], 0.0)  # a view that is no better than chance has no say
@@ -244,9 +255,11 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 3, confidence: float
             some = some | ((F.col("view") == view) & (F.col("guess") == guess) & _below("h", n, max_pseudo))
         taken = sure.where(some).collect() if counts else []
         shared.unpersist()
+        got = Counter((r["view"], r["guess"]) for r in taken)
         for view in (0, 1):  # what one view is sure of teaches the other
             rows = [r for r in taken if r["view"] == 1 - view]
-            extra[view] = [_arrays(rows)[view], np.array([r["guess"] for r in rows], np.float64)]
+            share = [counts[k] / got[k] for k in ((r["view"], r["guess"]) for r in rows)]
+            extra[view] = [_arrays(rows)[view], np.array([r["guess"] for r in rows], np.float64), np.array(share, np.float64)]
     both = np.clip(model.views(x[held], z[held]), -20, 20)
     return Model(content, metadata, scale, fit_logistic(both, y[held], l2=0.05))
 

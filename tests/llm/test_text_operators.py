@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -287,6 +288,30 @@ def test_cotraining_separates_held_out_documents(spark):
     assert cotrain.score(docs.limit(0), cotrain.train(docs.limit(0), marks.limit(0))).count() == 0
 
 
+def test_bounded_pseudo_labels_keep_the_mix_of_classes(spark, monkeypatch):
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(["river", "stone", "walks", "under", "light"]) for _ in range(60)) + "."
+    bad = lambda: " ".join(rng.choice(["$$$", "WIN!!", "###", "click", "0000"]) for _ in range(60))
+    rows = [(i, bad() if i % 8 == 0 else good(), "en", f"s{i % 3}", 300) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    marks = spark.createDataFrame([(i, int(i % 8 != 0)) for i in range(200)], "doc_id long, quality int")
+    plain = cotrain.fit_logistic
+    mixes = []
+    for most in (10**6, 40):
+        fits = []
+
+        def spy(x, y, *args, counts=None, fits=fits, **kw):
+            if counts is not None:
+                fits.append((len(y), counts[y == 1].sum(), counts[y == 0].sum()))
+            return plain(x, y, *args, counts=counts, **kw)
+
+        monkeypatch.setattr(cotrain, "fit_logistic", spy)
+        cotrain.train(docs, marks, rounds=1, max_pseudo=most)
+        mixes.append(fits)
+    assert sum(n for n, _, _ in mixes[1]) < sum(n for n, _, _ in mixes[0])
+    assert np.allclose([f[1:] for f in mixes[0]], [f[1:] for f in mixes[1]])
+
+
 def test_newton_fit_agrees_with_the_gradient():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4))
