@@ -9,11 +9,13 @@ pseudonyms in every document and different values different ones:
   character modulo its alphabet;
 * addresses of four octets, dates and social security numbers: a Feistel network over a pair
   of residues whose moduli multiply to exactly the number of valid values
-  (65536 x 65536; 189 x 773 days, which is one 400-year cycle; 898 x 989901).
+  (65536 x 65536; 189 x 773 days, which is one 400-year cycle, and 93 x 1567 days of the years 1 to
+  199 and 9800 to 9999, which fill no cycle; 898 x 989901).
 
 Cards keep a valid Luhn digit and bank accounts valid check digits; separators, letter case,
 country codes and the domains of e-mail addresses stay. Numbers that fail validation stay as
-they are. Key: parameter ``key``; without the key pseudonyms can't be inverted.
+they are, and so do dates with a year of two digits or a month in words, seven-digit phone numbers, and
+ten digits without separators. Key: parameter ``key``; without the key pseudonyms can't be inverted.
 
 Edge cases: null text stays null (0 found), empty text stays empty; a text of any length is
 searched whole; repeated rows get equal results; an empty table gives an empty result; input
@@ -35,15 +37,18 @@ PATTERNS = {
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
     "ipv4": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+[2-9]\d{0,2}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-    r"|(?<![\w(+-])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}([-.])\d{3}\2\d{4}(?![\w-])",
+    r"|(?<![\w(+-])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}([-. ])\d{3}\2\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{4}([ -])\d{6}\4\d{5})(?![\w-])",
 }
 ANY = "(" + "|".join(PATTERNS.values()) + ")"
 _BASE_DAY = "1800-01-01"
 _CYCLE = 146097  # days of 400 years = 189 * 773
+#: Years outside whole cycles: 0001 to 0199 and 9800 to 9999, 93 * 1567 days.
+_LATE, _LATE_DAYS = "9800-01-01", 73048
+_EDGE_SHIFT = 3652059  # puts 0001-01-01 after 9999-12-31
 _M, _T = "__pii_found", "__pii_text"
 
 
@@ -181,14 +186,22 @@ def _date(m: Column, key: str) -> Column:
             cycle, r = F.floor(d / _CYCLE), F.pmod(d, F.lit(_CYCLE))
             new = permute_pair(F.floor(r / 773), F.pmod(r, F.lit(773)), 189, 773, key, "date")
             out = _bound(new, lambda p: F.date_format(F.date_add(F.lit(_BASE_DAY).cast("date"), (cycle * _CYCLE + p["l"] * 773 + p["r"]).cast("int")), fmt))
-            return F.when((cycle >= -1) & (cycle <= 1), out)
+            whole = (cycle >= -4) & (cycle <= 19)
+            late = F.datediff(F.lit(_BASE_DAY).cast("date"), F.lit(_LATE).cast("date")) + d
+            edge = F.when(late >= 0, late).otherwise(late + _EDGE_SHIFT)
+            pair = permute_pair(F.floor(edge / 1567), F.pmod(edge, F.lit(1567)), 93, 1567, key, "date-edge")
+            at = lambda e: F.when(e < _LATE_DAYS, F.date_add(F.lit(_LATE).cast("date"), e)).otherwise(F.date_add(F.lit("0001-01-01").cast("date"), e - _LATE_DAYS))
+            ends = _bound(pair, lambda p: F.date_format(at((p["l"] * 1567 + p["r"]).cast("int")), fmt))
+            return F.when(whole, out).otherwise(ends)
 
         return _bound(day, moved)
 
+    full = F.length(m) == 10  # else a day or month of one digit
     return (
-        F.when(m.contains("-"), of("yyyy-MM-dd"))
-        .when(m.contains("."), of("dd.MM.yyyy"))
-        .otherwise(F.coalesce(of("MM/dd/yyyy"), of("dd/MM/yyyy")))
+        F.when(m.contains("-"), F.when(full, of("yyyy-MM-dd")).otherwise(of("yyyy-M-d")))
+        .when(m.contains("."), F.when(full, of("dd.MM.yyyy")).otherwise(of("d.M.yyyy")))
+        .when(full, F.coalesce(of("MM/dd/yyyy"), of("dd/MM/yyyy")))
+        .otherwise(F.coalesce(of("M/d/yyyy"), of("d/M/yyyy")))
     )
 
 

@@ -101,6 +101,21 @@ def test_main_with_extra_blocks():
     assert html_extract.main_text(f"<body><article><h1>Title</h1>{ps[0]}</article><div>{cards}</div></body>") == " ".join(["Title", *one])
 
 
+def test_dates_of_all_years_and_more_shapes(spark):
+    from pyspark.sql import functions as F
+
+    days = spark.sql("SELECT date_format(d, 'yyyy-MM-dd') AS d FROM (SELECT explode(sequence(date'0001-01-01', date'0199-12-31')) AS d UNION ALL SELECT explode(sequence(date'9800-01-01', date'9999-12-31')))")
+    new = [r.p for r in days.select(pii.pseudonym(F.col("d"), "k").alias("p")).collect()]
+    assert set(new) == {r.d for r in days.collect()} and len(new) == 145731
+    shapes = ["0999-01-01", "9999-12-31", "0200-02-28", "3/7/2021", "13/7/2021", "3.7.2021", "2021-3-7", "555 123 4567", "(555) 123 4567"]
+    df = spark.createDataFrame([(i, f"on {s}, so") for i, s in enumerate([*shapes, "31/31/2021", "3/7/21"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, key="k", found_col="n").collect()}
+    for i, s in enumerate(shapes):
+        assert got[i].n == 1 and s not in got[i].text
+        assert re.sub(r"\d+", "0", got[i].text) == re.sub(r"\d+", "0", f"on {s}, so")
+    assert got[len(shapes)].n == got[len(shapes) + 1].n == 0
+
+
 def test_class_words_dont_cut_the_article():
     ts = paragraphs("Story", 4)
     ps, want = "".join(f"<p>{t}</p>" for t in ts), " ".join(ts)
