@@ -84,6 +84,9 @@ RULES: dict[str, Callable[[Text, int], bool]] = {
 }
 
 
+_SPREAD = 1 << 40
+
+
 def estimate_order(texts: list[str]) -> list[str]:
     """Rule names by rejection per cost on ``texts``; free of rows, the order of RULES."""
     rows = [t for t in map(Text, texts) if t.n_words >= 50]
@@ -104,7 +107,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``sample_rows`` bounds the sample that orders the rules and nothing else.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    order = estimate_order([r[0] or "" for r in rows.select("text").limit(sample_rows).collect()])
+    n = rows.count()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SPREAD))  # by hash over the whole table
+    sample = rows if n <= sample_rows else rows.where(place < _SPREAD * sample_rows // n)
+    order = estimate_order([r[0] or "" for r in sample.select("text").limit(sample_rows).collect()])
 
     def run(batches):
         release()

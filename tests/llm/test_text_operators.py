@@ -116,6 +116,14 @@ def test_dates_of_all_years_and_more_shapes(spark):
     assert got[len(shapes)].n == got[len(shapes) + 1].n == 0
 
 
+def test_rules_are_ordered_by_a_sample_of_the_whole_table(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_rules, "estimate_order", lambda texts: seen.extend(texts) or list(quality_rules.RULES))
+    df = spark.createDataFrame([(i, f"{'late' if i >= 1000 else 'early'} {i}") for i in range(2000)], "doc_id long, text string").coalesce(1)
+    quality_rules.quality_rules(df, sample_rows=200)
+    assert 100 < len(seen) <= 200 and min(sum(t.startswith(w) for t in seen) for w in ("early", "late")) > 50
+
+
 def test_class_words_dont_cut_the_article():
     ts = paragraphs("Story", 4)
     ps, want = "".join(f"<p>{t}</p>" for t in ts), " ".join(ts)
