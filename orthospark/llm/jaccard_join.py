@@ -6,17 +6,17 @@ embedded as ``POSITIONS`` minhash tokens, of which two sets with Jaccard similar
 part j on average.
 
 Chosen paths: a node of the recursion is a set of documents that agree on the tokens chosen so
-far. A node that is larger than ``limit`` is split: ``BRANCH`` positions are drawn by a hash of
+far. A node that is larger than ``limit`` is split: ``branch_for(threshold)`` positions (2 at 0.8) are drawn by a hash of
 the node, and each document goes, for each of them, to the child of its token there. A node of at
-most ``limit`` classes is brute-forced. With 2 positions a pair at similarity 0.8 shares 1.6
-children on average and is found in one run with probability q, the fixed point of
-q = 1 - (1 - 0.8 q)^2 (0.9375) however deep the recursion goes; independent runs are repeated
+most ``limit`` classes (1024) is brute-forced. With 2 positions a pair at similarity 0.8 shares 1.6
+children on average and is found in one run with probability q, from q = 1 by
+q = 1 - (1 - 0.8 q)^2 a level (0.9388 at the greatest depth); independent runs are repeated
 until 1 - (1 - q)^runs reaches the target recall. All runs share the 64 tokens: at 0.8 four runs of
 depth 4 miss 9.4e-5, and with the sketches (below; 4e-6 alone) 9.8e-5 in all.
 
 Nodes that splitting doesn't shrink hold one large group of near copies. They are brute-forced
-too, in blocks: each pair of blocks is a bounded task, so no group meets in one task and no cap
-drops a partner. A pair that meets in several leaves is compared exactly in the one with the
+too, in blocks of at most about ``limit`` classes and ``MOST_SHINGLES`` shingles: each pair of blocks is a bounded
+task, so no group meets in one task and no cap drops a partner. A member of a leaf of g classes travels g / limit times. A pair that meets in several leaves is compared exactly in the one with the
 smallest id only. First the leaves are compared by 64-byte sketches, to find which documents have
 a partner at all; only those get their full sets, and every link is decided by the exact Jaccard
 similarity of the sets. Pairs are never written: a block returns counts a class and a star of
@@ -39,12 +39,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, grouped_stream, mix64, release, shingles, shuffle_width, strings, table, word_hashes
 
-POSITIONS, BRANCH, MAX_DEPTH = 64, 2, 4
+POSITIONS, MAX_DEPTH = 64, 4
+#: Shingles of a block, 8 bytes each, whose sets are compared in one task.
+MOST_SHINGLES = 1 << 20
+#: Ids that are broadcast at most (a few MB).
+BROADCAST_ROWS = 500_000
 _IS_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _SEEDS = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -65,11 +69,16 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return mix64(out)
 
 
+def branch_for(threshold: float) -> int:
+    """Positions a node draws: a pair at the threshold shares 1.6 children or more on average."""
+    return max(2, math.ceil(1.6 / threshold))
+
+
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs that reach ``recall`` for pairs at the threshold."""
+    """Runs that reach ``recall`` for pairs at the threshold, however many of the MAX_DEPTH levels split."""
     q = 1.0
-    for _ in range(200):
-        q = 1 - (1 - threshold * q) ** BRANCH
+    for _ in range(MAX_DEPTH):
+        q = 1 - (1 - threshold * q) ** branch_for(threshold)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - q)))
 
 
@@ -78,17 +87,16 @@ def sketch_cutoff(threshold: float) -> float:
     return POSITIONS * threshold - 5 * math.sqrt(POSITIONS * threshold * (1 - threshold))
 
 
-def chosen(node: np.ndarray) -> np.ndarray:
-    """The BRANCH distinct positions that each node draws."""
+def chosen(node: np.ndarray, branch: int) -> np.ndarray:
+    """The ``branch`` distinct positions that each node draws: steps of an odd width from a first one."""
     first = mix64(node ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    a = first % np.uint64(POSITIONS)
-    b = (a + np.uint64(1) + (first >> np.uint64(32)) % np.uint64(POSITIONS - 1)) % np.uint64(POSITIONS)
-    return np.stack([a, b], axis=1).astype(np.int64)
+    width = (first >> np.uint64(32)) | np.uint64(1)
+    return ((first[:, None] + np.arange(branch, dtype=np.uint64) * width[:, None]) % np.uint64(POSITIONS)).astype(np.int64)
 
 
-def children(node: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Child nodes (rows x BRANCH) of documents with signatures ``sig`` in nodes ``node``."""
-    at = chosen(node)
+def children(node: np.ndarray, sig: np.ndarray, branch: int) -> np.ndarray:
+    """Child nodes (rows x branch) of documents with signatures ``sig`` in nodes ``node``."""
+    at = chosen(node, branch)
     value = np.take_along_axis(sig, at, axis=1)
     return mix64(mix64(node[:, None] + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ value)
 
@@ -125,7 +133,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, cid binary, n int, sig binary")
 
 
-def _leaves(classes: DataFrame, runs: int, limit: int) -> DataFrame:
+def _blocks(size: str, total: str, limit: int) -> Column:
+    return F.greatest(F.ceil(F.col(size) / limit), F.ceil(F.col(total) / MOST_SHINGLES)).cast("int").alias("blocks")
+
+
+def _leaves(classes: DataFrame, runs: int, branch: int, limit: int) -> DataFrame:
     """(leaf, cid, blocks): memberships of classes in leaves of at least two classes."""
 
     def first(batches):
@@ -135,39 +147,39 @@ def _leaves(classes: DataFrame, runs: int, limit: int) -> DataFrame:
             k = b.num_rows
             if k:
                 node = np.tile(roots, k)
-                kids = children(node, np.repeat(_sigs(b.column(1)), runs, axis=0)).reshape(-1)
-                cid = b.column(0).take(pa.array(np.repeat(np.arange(k), runs * BRANCH)))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(kids)), cid], names=["node", "cid"])
+                kids = children(node, np.repeat(_sigs(b.column(2)), runs, axis=0), branch).reshape(-1)
+                at = pa.array(np.repeat(np.arange(k), runs * branch))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(kids)), b.column(0).take(at), b.column(1).take(at)], names=["node", "cid", "n"])
 
     def deeper(batches):
         for b in batches:
             k = b.num_rows
             if k:
                 node = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                kids = children(node, _sigs(b.column(2))).reshape(-1)
-                at = pa.array(np.repeat(np.arange(k), BRANCH))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(_signed(kids)), b.column(1).take(at)], names=["up", "node", "cid"])
+                kids = children(node, _sigs(b.column(3)), branch).reshape(-1)
+                at = pa.array(np.repeat(np.arange(k), branch))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(_signed(kids)), b.column(1).take(at), b.column(2).take(at)], names=["up", "node", "cid", "n"])
 
     found: list[DataFrame] = []
-    active = checkpointed(classes.select("cid", "sig").mapInArrow(first, "node long, cid binary"))
+    active = checkpointed(classes.select("cid", "n", "sig").mapInArrow(first, "node long, cid binary, n int"))
     for depth in range(1, MAX_DEPTH + 1):
-        sizes = active.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sizes = active.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1")
         small = checkpointed(sizes)
         last = depth == MAX_DEPTH
         done = small if last else small.where(F.col("size") <= limit)
-        found.append(active.join(done, "node").select("node", "cid", F.ceil(F.col("size") / limit).cast("int").alias("blocks")))
+        found.append(active.join(done, "node").select("node", "cid", _blocks("size", "total", limit)))
         if last:
             break
-        large = small.where(F.col("size") > limit).withColumnRenamed("size", "whole")
+        large = small.where(F.col("size") > limit).select("node", F.col("size").alias("whole"), "total")
         if large.isEmpty():
             break
-        held = active.join(large.select("node"), "node", "left_semi").join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig")
-        split = checkpointed(held.mapInArrow(deeper, "up long, node long, cid binary"))
+        held = active.join(large.select("node"), "node", "left_semi").join(classes.select("cid", "sig"), "cid").select("node", "cid", "n", "sig")
+        split = checkpointed(held.mapInArrow(deeper, "up long, node long, cid binary, n int"))
         # a node whose largest child holds most of it is one group of near copies: it is a leaf
         most = split.groupBy("up", "node").agg(F.count(F.lit(1)).alias("size")).groupBy("up").agg(F.max("size").alias("most"))
-        alike = checkpointed(most.join(large, most["up"] == large["node"]).where(F.col("most") * 2 > F.col("whole")).select("node", "whole"))
-        found.append(active.join(alike, "node").select("node", "cid", F.ceil(F.col("whole") / limit).cast("int").alias("blocks")))
-        active = split.join(alike.select(F.col("node").alias("up")), "up", "left_anti").select("node", "cid")
+        alike = checkpointed(most.join(large, most["up"] == large["node"]).where(F.col("most") * 2 > F.col("whole")).select("node", "whole", "total"))
+        found.append(active.join(alike, "node").select("node", "cid", _blocks("whole", "total", limit)))
+        active = split.join(alike.select(F.col("node").alias("up")), "up", "left_anti").select("node", "cid", "n")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -210,8 +222,8 @@ def _sides(t: pa.Table, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own == p), np.flatnonzero(own == q)
 
 
-def _alike(t: pa.Table, key: tuple, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of a block pair that this leaf owns and whose sketches agree enough."""
+def _alike(t: pa.Table, key: tuple, least: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of a block pair that this leaf owns and whose sizes and sketches can reach the threshold."""
     leaf, p, q = key
     i, j = _sides(t, p, q)
     if not i.size or not j.size:
@@ -229,8 +241,8 @@ def _alike(t: pa.Table, key: tuple, least: float) -> tuple[np.ndarray, np.ndarra
     if x.size:
         own = _owned(leaf, [lists[k] for k in i], [lists[k] for k in j])[x, y]
         x, y = x[own], y[own]
-    ratio = np.minimum(n[i[x]], n[j[y]]) / np.maximum(n[i[x]], n[j[y]])
-    return i[x[ratio >= 0.5]], j[y[ratio >= 0.5]]
+    close = np.minimum(n[i[x]], n[j[y]]) >= threshold * np.maximum(n[i[x]], n[j[y]]) - 1e-9
+    return i[x[close]], j[y[close]]
 
 
 def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -252,19 +264,15 @@ def intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.nd
     return total[x, y].astype(np.int64)
 
 
-def _links(rows: DataFrame, threshold: float) -> DataFrame:
+def _links(rows: DataFrame, least: float, threshold: float) -> DataFrame:
     """Exact links in each block pair: (cid, links, least): documents linked and the star's centre."""
 
     def compare(key, t):
-        x, y = _alike(t, key, 0)
+        x, y = _alike(t, key, least, threshold)
         if not x.size:
             return None
         sets = [np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()]
         n = np.array([s.size for s in sets], np.int64)
-        close = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
-        x, y = x[close], y[close]
-        if not x.size:
-            return None
         both = intersections(sets, x, y)
         linked = both >= threshold * (n[x] + n[y] - both) - 1e-9
         x, y = x[linked], y[linked]
@@ -323,8 +331,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return now
 
 
-def _solve(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128,
-           id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def _solve(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 1024,
+           id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(id, cid) of all documents, and (cid, label, weight, root, component, links) of all sets.
 
     ``label``: least id of a set; ``root``: the least digest of its component, null where nothing
@@ -336,7 +344,7 @@ def _solve(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: floa
         sets.where("cid IS NOT NULL").groupBy("cid").agg(F.min("id").alias("label"), F.count(F.lit(1)).alias("weight"), F.max("n").alias("n"), F.max("sig").alias("sig"))
     )
     classes = checkpointed(classes)
-    leaves = _leaves(classes, runs_for(recall, threshold), limit)
+    leaves = _leaves(classes, runs_for(recall, threshold), branch_for(threshold), limit)
     packed = leaves.groupBy("cid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     sketch = F.expr("unhex(array_join(transform(sequence(0, %d), i -> substr(hex(sig), 16 * i + 1, 2)), ''))" % (POSITIONS - 1))
     known = packed.join(classes, "cid").select("cid", "n", "weight", sketch.alias("sketch"), "leaves")
@@ -351,7 +359,7 @@ def _solve(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: floa
     least = sketch_cutoff(threshold)
 
     def partners(key, t):
-        x, y = _alike(t, key, least)
+        x, y = _alike(t, key, least, threshold)
         if not x.size:
             return None
         at = pa.array(np.unique(np.concatenate([x, y])))
@@ -364,9 +372,9 @@ def _solve(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: floa
 
     # full sets of one document of each class that has a possible partner
     owners = wanted.select("cid").distinct().join(classes.select("cid", "label"), "cid").select("cid", F.col("label").alias("id"))
-    full = _full_sets(docs, owners, id_col, text_col, width)
+    full = _full_sets(docs, owners, id_col, text_col, width, broadcast_rows)
     rows = wanted.join(known, "cid").join(full, "cid")
-    found = checkpointed(_links(rows, threshold))
+    found = checkpointed(_links(rows, least, threshold))
     nodes = found.select("cid").unionByName(found.select(F.col("least").alias("cid"))).distinct().select("cid", F.col("cid").alias("label"))
     roots = components(found.where("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b")), nodes)
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
@@ -377,10 +385,10 @@ def _solve(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: floa
     return sets.select("id", "cid"), about
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 128,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, limit: int = 1024,
+                 id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per document: doc_id, class_id, set_id, n_links. ``recall``: target for each link."""
-    sets, about = _solve(docs, threshold, width, recall, limit, id_col, text_col)
+    sets, about = _solve(docs, threshold, width, recall, limit, id_col, text_col, broadcast_rows)
     out = sets.join(about, "cid", "left")
     return out.select(
         F.col("id").alias("doc_id"),
@@ -390,7 +398,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall
     )
 
 
-def _full_sets(docs: DataFrame, owners: DataFrame, id_col: str, text_col: str, width: int, broadcast_rows: int = 500_000) -> DataFrame:
+def _full_sets(docs: DataFrame, owners: DataFrame, id_col: str, text_col: str, width: int, broadcast_rows: int) -> DataFrame:
     """(cid, shingles) of the classes in ``owners`` (cid, id), from one document each.
 
     The ids are broadcast only up to ``broadcast_rows`` (a few MB); beyond that, an ordinary join.
@@ -414,14 +422,15 @@ def _full_sets(docs: DataFrame, owners: DataFrame, id_col: str, text_col: str, w
     return checkpointed(found.dropDuplicates(["cid"]))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """The rows of ``docs`` that stay: all without words, and one of each class.
 
     That is a row of the least id (null ids last) and, among those, of the least digest; rows are told
     apart by id and digest, so that a repeated or null id takes no other row along. Rows equal in
-    both are copies, of which any one stays.
+    both are copies, of which any one stays. The ids in question are broadcast up to
+    ``broadcast_rows``; beyond that, an ordinary join decides.
     """
-    sets, about = _solve(docs, id_col=id_col, text_col=text_col, **options)
+    sets, about = _solve(docs, id_col=id_col, text_col=text_col, broadcast_rows=broadcast_rows, **options)
     # only sets of more than one row or with links lose rows
     shared = about.where("weight > 1 OR root IS NOT NULL").select("cid", F.coalesce("root", "cid").alias("root"))
     rows = checkpointed(sets.join(shared, "cid").groupBy("root", "cid", "id").agg(F.count(F.lit(1)).alias("n")))
@@ -434,16 +443,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def digests(texts: pa.Array) -> pa.Array:
         return pa.array([digest(shingle_set(t, width)) for t in strings(texts)], pa.binary())
 
-    known = docs.withColumn("__nd_id", F.col(f"`{id_col}`").cast("long")).withColumn("__nd_cid", digests(F.col(f"`{text_col}`").cast("string")))
     same = lambda side: (F.col("__nd_cid") == side["cid"]) & F.col("__nd_id").eqNullSafe(side["id"])
     pairs = rows.select("cid", "id")
     drop = pairs.join(first.select("cid", F.col("id").alias("__id")), (pairs["cid"] == first["cid"]) & pairs["id"].eqNullSafe(F.col("__id")), "left_anti")
-    kept = known.join(drop, same(drop), "left_anti")
     copies = first.where("n > 1").select("cid", "id")
+    drop, copies = checkpointed(drop), checkpointed(copies)
+    # rows of other ids stay; only these ids' texts are read for their digests again
+    doubt = checkpointed(drop.select("id").unionByName(copies.select("id")).distinct())
+    doubt = F.broadcast(doubt) if doubt.count() <= broadcast_rows else doubt
+    known = docs.withColumn("__nd_id", F.col(f"`{id_col}`").cast("long"))
+    clear = known.join(doubt, F.col("__nd_id").eqNullSafe(doubt["id"]), "left_anti")
+    known = known.join(doubt, F.col("__nd_id").eqNullSafe(doubt["id"]), "left_semi").withColumn("__nd_cid", digests(F.col(f"`{text_col}`").cast("string")))
+    kept = known.join(drop, same(drop), "left_anti")
+    out = clear.select(*names)
     if copies.isEmpty():
-        return kept.select(*names)
+        return out.unionByName(kept.select(*names))
     one = kept.join(copies, same(copies), "left_semi").dropDuplicates(["__nd_cid", "__nd_id"])
-    return kept.join(copies, same(copies), "left_anti").unionByName(one).select(*names)
+    return out.unionByName(kept.join(copies, same(copies), "left_anti").select(*names)).unionByName(one.select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

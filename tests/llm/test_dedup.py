@@ -198,3 +198,30 @@ def test_sketches_and_runs_together_reach_the_recall():
 
 def test_runs_reach_the_recall():
     assert J.runs_for(0.9999, 0.8) == 4 and J.runs_for(0.9, 0.8) == 1
+
+
+def test_joins_beyond_the_broadcast_bound_and_other_thresholds(spark, corpus):
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    got = J.jaccard_join(corpus, limit=16, broadcast_rows=0)
+    assert Counter((r.doc_id, r.n_links, r.class_id) for r in got.collect()) == Counter(brute(rows))
+    kept = [sorted((r.doc_id is None, r.doc_id or 0) for r in J.near_dedup(corpus, broadcast_rows=n).collect()) for n in (0, 500_000)]
+    assert kept[0] == kept[1]
+    # sets of 40 and 100 shingles, one inside the other: similarity 0.4
+    w = [f"w{i}" for i in range(104)]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:44])), (3, "far from them all by far")], "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in J.jaccard_join(df, threshold=0.3).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_recall_over_random_pairs(spark):
+    """Planted pairs just above the threshold, each in a class of its own: all are linked."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        w = [f"w{i}x{k}" for k in range(204)]
+        v = list(w)
+        v[rng.randrange(20, 60)], v[rng.randrange(80, 120)], v[rng.randrange(140, 180)], v[199] = "a", "b", "c", "d"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, n) for i, n, _ in [(r[0], 1, None) for r in rows if len(shingle(rows[r[0] ^ 1][1]) & shingle(r[1])) * 9 >= 8 * 200])
+    got = Counter((r.doc_id, r.n_links) for r in J.jaccard_join(df).collect() if r.n_links)
+    assert got == want and len(want) > 500
