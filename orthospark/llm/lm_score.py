@@ -9,11 +9,22 @@ score is the sum of ln S over its words (words: runs of characters but the six A
 spaces; no padding at the start).
 
 Relational plan: words become 64-bit hashes and n-grams hashes of those. Documents are dealt in
-chunks of at most ``chunk_words`` words (a longer document is a chunk of its own). Each chunk's distinct n-grams, with their counts, go to the partition
-of the count table that their hash names (counts are added up before the shuffle, so a frequent
-n-gram sends one row a chunk); each partition sums up and answers every chunk with the counts it
-asked for; the answers are joined to the chunk's exploded n-grams and summed per document. Hashes
-travel sorted, as compressed differences.
+chunks of at most ``chunk_words`` words (a longer document is a chunk of its own, held whole by one task).
+Then, for a part of the hash space at a time:
+
+* ``exploded``: the distinct n-grams of each chunk with the chunk's own counts, one row a chunk and
+  bucket of the hash space (a frequent n-gram comes once a chunk, so no n-gram is a hot key);
+* ``count_table``: exploded, grouped by bucket: each n-gram's count in the whole corpus;
+* exploded is joined to the count table by the bucket and n-gram (a cogroup, as the n-grams of
+  a row are an array).
+
+The joined counts are gathered by chunk, put back on the positions and summed per document.
+Arrays travel sorted, as compressed differences: the same rows one by one are some 400 million for
+0.5 GB, 13 bytes each in a shuffle, ten times the input against a disk budget of four.
+There are never more rows than distinct n-grams of chunks, however many buckets there are.
+
+Two different n-grams of one 64-bit hash count as one; among n distinct n-grams n^2 / 2^65 such pairs are
+expected (one in 6 x 10^9 n-grams, some 10 GB of text; a share of 3 x 10^-6 of all n-grams at 100 TB).
 
 Edge cases: null, empty or wordless text has 0 words and a score of 0 (mean null); repeated rows are
 documents of their own and count for each other; null ids are kept; an empty table gives an
@@ -159,53 +170,91 @@ class _Grams:
         return np.bincount(doc, np.log(s), self.lengths.size) if n else np.zeros(self.lengths.size)
 
 
+_EXPLODED, _COUNTS = "part int, chunk long, grams binary, counts binary", "part int, grams binary, counts binary"
+
+
+def exploded(state: DataFrame, edges: list[int], first: int, last: int) -> DataFrame:
+    """The distinct n-grams of each chunk with its own counts, by buckets ``first`` .. ``last - 1`` of the hash space."""
+
+    def run(batches):
+        release()
+        for b in batches:
+            for chunk, words, ids, lengths in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5))):
+                g = _Grams(words, ids, lengths, edges[first], edges[last])
+                counts = g.counts().astype(np.uint32)
+                cuts = np.searchsorted(g.grams, np.array(edges[first + 1 : last], np.uint64)).tolist()
+                bounds = [(p, x, y) for p, (x, y) in enumerate(zip([0, *cuts], [*cuts, g.grams.size]), first) if y > x]
+                for a in range(0, len(bounds), 64):
+                    some = bounds[a : a + 64]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([p for p, _, _ in some], pa.int32()), pa.array([chunk] * len(some), pa.int64()),
+                         pa.array([_press_sorted(g.grams[x:y]) for _, x, y in some]), pa.array([_press(counts[x:y]) for _, x, y in some])],
+                        names=["part", "chunk", "grams", "counts"],
+                    )
+
+    return state.mapInArrow(run, _EXPLODED)
+
+
+def count_table(grams: DataFrame) -> DataFrame:
+    """The corpus's counts: one row a bucket, with its n-grams in order and their counts."""
+
+    def add(t: pa.Table) -> pa.Table:
+        release()
+        found, at = np.unique(np.concatenate([_unpress_sorted(x) for x in t.column("grams").to_pylist()]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([_unpress(x, np.uint32) for x in t.column("counts").to_pylist()])).astype(np.uint64)
+        return pa.table({"part": t.column("part").slice(0, 1), "grams": [_press_sorted(found)], "counts": [_press(total)]})
+
+    return grams.groupBy("part").applyInArrow(add, _COUNTS)
+
+
+def join_counts(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """Exploded n-grams joined to the count table: the corpus's counts of each row's n-grams."""
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
+        known = _unpress_sorted(right.column("grams")[0].as_py())
+        total = _unpress(right.column("counts")[0].as_py(), np.uint64)
+        out = [_press(total[np.searchsorted(known, _unpress_sorted(x.as_py()))]) for x in left.column("grams")]
+        return pa.table({"chunk": left.column("chunk"), "part": left.column("part"), "total": out})
+
+    return grams.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(join, "chunk long, part int, total binary")
+
+
+def _edges(parts: int) -> list[int]:
+    return [k * 2**64 // parts for k in range(parts + 1)]
+
+
+def ngram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
+    """The count table one n-gram a row: hash (signed) and count of all n-grams of one to three words."""
+    parts = parts or shuffle_width(docs.sparkSession)
+    table = count_table(exploded(_chunks(docs, id_col, text_col, 2_200_000), _edges(parts), 0, parts))
+
+    def run(batches):
+        for b in batches:
+            for g, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpress_sorted(g).view(np.int64)), pa.array(_unpress(c, np.uint64).astype(np.int64))], names=["hash", "count"])
+
+    return table.mapInArrow(run, "hash long, count long")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_words: int = 2_200_000,
-          grams_a_part: int = 2_000_000, rounds: int = 2) -> DataFrame:
+          grams_a_part: int = 2_000_000, rounds: int = 4) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score of every document."""
     state = checkpointed(_chunks(docs, id_col, text_col, chunk_words))
     n_words = state.agg(F.sum("n_words")).first()[0] or 0
     parts = max(shuffle_width(docs.sparkSession), -(-2 * n_words // grams_a_part))
+    edges = _edges(parts)
 
-    edges = [k * 2**64 // parts for k in range(parts + 1)]
-
-    def ask_for(first: int, last: int):
-        """Questions to the parts first .. last - 1."""
-
-        def ask(batches):
-            release()
-            for b in batches:
-                for chunk, words, ids, lengths in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 5))):
-                    g = _Grams(words, ids, lengths, edges[first], edges[last])
-                    counts = g.counts().astype(np.uint32)
-                    cuts = np.searchsorted(g.grams, np.array(edges[first + 1 : last], np.uint64)).tolist()
-                    for p, (x, y) in enumerate(zip([0, *cuts], [*cuts, g.grams.size]), first):
-                        if y > x:
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([p], pa.int32()), pa.array([chunk]), pa.array([_press_sorted(g.grams[x:y])]), pa.array([_press(counts[x:y])])],
-                                names=["part", "chunk", "grams", "counts"],
-                            )
-
-        return ask
-
-    def answer(key, t):
-        grams = [_unpress_sorted(x) for x in t.column("grams").to_pylist()]
-        counts = np.concatenate([_unpress(x, np.uint32) for x in t.column("counts").to_pylist()])
-        _, at = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(at, counts)[at].astype(np.uint64)
-        cuts = np.cumsum([x.size for x in grams])[:-1]
-        for chunk, x in zip(t.column("chunk").to_pylist(), np.split(total, cuts)):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([key[0]], pa.int32()), pa.array([_press(x)])], names=["chunk", "part", "total"])
-
-    # The hash space is asked in rounds whose answers are written, so that the questions' shuffle files,
-    # several times as large, take disk for one round at a time.
+    # The hash space is joined in rounds whose answers are written, so that the exploded n-grams' shuffle
+    # files, several times as large, take disk for one round at a time.
     answers = None
     for k in range(rounds):
         first, last = k * parts // rounds, (k + 1) * parts // rounds
         if first < last:
-            asked = state.mapInArrow(ask_for(first, last), "part int, chunk long, grams binary, counts binary")
-            got = checkpointed(grouped_stream(asked, ["part"], answer, "chunk long, part int, total binary", max(1, last - first)))
+            grams = exploded(state, edges, first, last)
+            got = checkpointed(join_counts(grams, count_table(grams)))
             answers = got if answers is None else answers.unionByName(got)
-            del asked, got
+            del grams, got
             free_shuffles(docs.sparkSession)
     nothing = F.lit(None).cast("binary")
     joined = answers.select("chunk", "part", "total", *[nothing.alias(c) for c in ("words", "ids", "docs", "lengths")]).unionByName(

@@ -385,6 +385,18 @@ def test_stupid_backoff_matches_brute_force(corpus, empty):
     assert lm_score.score(empty).count() == 0
 
 
+def test_count_table_matches_brute_force(corpus):
+    total = Counter()
+    for r in corpus.collect():
+        w = WORDS.findall(r.text or "")
+        for n in (1, 2, 3):
+            total.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    for parts in (1, 7):
+        got = lm_score.ngram_counts(corpus, parts=parts).collect()
+        assert len({r.hash for r in got}) == len(got)
+        assert sorted(r["count"] for r in got) == sorted(total.values())
+
+
 # ---- pieces
 
 
