@@ -20,7 +20,7 @@ TILE = T.StructType(
     + [T.StructField(n, T.IntegerType()) for n in ("h", "w", "valid_h", "valid_w")]
     + [T.StructField("transform", T.ArrayType(T.DoubleType())), T.StructField("data", T.ArrayType(T.FloatType()))]
 )
-REGIONS = "tile_row int, tile_col int, class_name string, confidence int, source string, geom binary, minx double, miny double, maxx double, maxy double, n_cells int"
+REGIONS = "tile_row int, tile_col int, class_name string, confidence int, source string, geom binary, minx double, miny double, maxx double, maxy double, n_cells int, position int"
 
 
 def window_confidence(prob: np.ndarray, t: Affine, box: tuple) -> int:
@@ -60,7 +60,8 @@ def regions(prob: np.ndarray, t: Affine, least: float = 0.5, close: bool = True)
 def mask_polygons(tiles: DataFrame, least: float = 0.5, source: str = "mask", close: bool = True) -> DataFrame:
     """Detections of probability tiles; unregistered classes are left out.
 
-    Each tile is one row, so a task holds one Arrow batch of tiles at a time.
+    Each tile is one row, so a task holds one Arrow batch of tiles at a time. ``position``: the place
+    among the regions of the tile and class, by their first cells.
     """
 
     def run(batches):
@@ -70,10 +71,10 @@ def mask_polygons(tiles: DataFrame, least: float = 0.5, source: str = "mask", cl
                 prob = np.asarray(row["data"], np.float32).reshape(row["h"], row["w"]).copy()
                 prob[row["valid_h"] :] = 0
                 prob[:, row["valid_w"] :] = 0
-                for rings, conf, n in regions(prob, Affine(*row["transform"]), least, close):
-                    out.append((row["tile_row"], row["tile_col"], row["class_name"], conf, source, g.to_wkb(rings), *g.bounds(rings), n))
+                for k, (rings, conf, n) in enumerate(regions(prob, Affine(*row["transform"]), least, close)):
+                    out.append((row["tile_row"], row["tile_col"], row["class_name"], conf, source, g.to_wkb(rings), *g.bounds(rings), n, k))
             if out:
-                kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.binary(), *[pa.float64()] * 4, pa.int32()]
+                kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.binary(), *[pa.float64()] * 4, pa.int32(), pa.int32()]
                 names = [c.split()[0] for c in REGIONS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 

@@ -8,19 +8,20 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
 from ..functions import geometry as g
 from ..functions import projections as pj
-from ..operators import raster, vectorize
+from ..operators import matching, raster, vectorize
 from ..operators.schema import UPLOAD_SUFFIXES
 from ..sources import geotiff, stac, vector
 from . import fixtures as fx
-from . import jobs
-from .catalog import query
-from .lineage import cut, shared_folder
+from . import jobs, pipeline
+from .catalog import AOI, IOU, SQL, _area_sql, query, _SETTINGS
+from .lineage import cut, running_sums, shared_folder
 
 SIZE, OVERLAP, WIDTH = 64, 8, 64
 STRIDE = SIZE - OVERLAP
@@ -47,6 +48,19 @@ def _dense(spark, sf) -> DataFrame:
     return raster.padded(tiled, _tiles(spark, sf), SIZE, "prob")
 
 
+def _tif(spark, sf, transform: raster.Affine) -> str:
+    """The folder of a GeoTIFF of the embeddings (a fixture; its source rows pass the driver)."""
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()
+    data = np.array([r["embedding"] for r in rows], np.float32)[None]
+    raw = geotiff.encode(geotiff.Raster(data, transform, 4326))
+    folder = f"{shared_folder(spark)}/tif-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/a.tif")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, False)
+    out.write(bytearray(raw))
+    out.close()
+    return folder
+
+
 def _transform(spark, sf) -> raster.Affine:
     return raster.Affine(1.0, 0.0, 0.0, 0.0, -1.0, float(_height(spark, sf)))
 
@@ -63,12 +77,9 @@ def tile_bounds(spark, sf):
 
 @query("raster_metadata", "SELECT 1 AS band_count, 4326 AS srid, 10::DOUBLE AS \"left\", 49::DOUBLE AS bottom, 42::DOUBLE AS \"right\", 49 + h / 4 AS top, 0.5::DOUBLE AS res_x, 0.25::DOUBLE AS res_y FROM dim", DIM)
 def raster_metadata(spark, sf):
-    h = _height(spark, sf)
-    t = [0.5, 0.0, 10.0, 0.0, -0.25, 49.0 + h * 0.25]
-    header = spark.range(1).select(
-        F.lit("memory").alias("path"), F.lit(1).alias("bands"), F.lit(h).alias("height"), F.lit(WIDTH).alias("width"), F.lit(4326).alias("srid"), F.array(*map(F.lit, t)).alias("transform")
-    )
-    return geotiff.metadata(header).drop("path")
+    """Read from the header of a written file."""
+    folder = _tif(spark, sf, raster.Affine(0.5, 0.0, 10.0, 0.0, -0.25, 49.0 + _height(spark, sf) * 0.25))
+    return geotiff.metadata(geotiff.headers(spark, folder)).drop("path")
 
 
 @query("tile_pixels", "SELECT * FROM tiled", f"{PIX}, {TILES}, {TILED}")
@@ -202,48 +213,61 @@ def _mask_tiles(spark, sf, least: float) -> DataFrame:
     return vectorize.tiles_from_pixels(d, SIZE, _transform(spark, sf), STRIDE, "building")
 
 
-@query("component_bbox", f"""SELECT tile_row, tile_col, n_cells, (minx + tile_col * {STRIDE})::DOUBLE AS minx, (maxx + tile_col * {STRIDE})::DOUBLE AS maxx, (h - tile_row * {STRIDE} - maxy)::DOUBLE AS miny, (h - tile_row * {STRIDE} - miny)::DOUBLE AS maxy
-  FROM (SELECT tile_row, tile_col, count(*)::INT AS n_cells, min(tc)::DOUBLE AS minx, max(tc) + 1.0 AS maxx, min(tr)::DOUBLE AS miny, max(tr) + 1.0 AS maxy FROM labels_ GROUP BY tile_row, tile_col, label), dim""",
-       f"""RECURSIVE {ALL}, lit AS (SELECT tile_row, tile_col, tr, tc, tr * {SIZE} + tc AS id FROM dense WHERE valid AND prob >= 0.75),
+_LABELS = f"""RECURSIVE {ALL}, lit AS (SELECT tile_row, tile_col, tr, tc, tr * {SIZE} + tc AS id FROM dense WHERE valid AND prob >= 0.75),
 reach AS (SELECT tile_row, tile_col, tr, tc, id AS label FROM lit
   UNION SELECT b.tile_row, b.tile_col, b.tr, b.tc, a.label FROM reach a JOIN lit b ON a.tile_row = b.tile_row AND a.tile_col = b.tile_col AND abs(a.tr - b.tr) + abs(a.tc - b.tc) = 1),
-labels_ AS (SELECT tile_row, tile_col, tr, tc, min(label) AS label FROM reach GROUP BY tile_row, tile_col, tr, tc)""")
+labels_ AS (SELECT tile_row, tile_col, tr, tc, min(label) AS label FROM reach GROUP BY tile_row, tile_col, tr, tc)"""
+
+
+@query("component_bbox", f"""SELECT tile_row, tile_col, n_cells, (minx + tile_col * {STRIDE})::DOUBLE AS minx, (maxx + tile_col * {STRIDE})::DOUBLE AS maxx, (h - tile_row * {STRIDE} - maxy)::DOUBLE AS miny, (h - tile_row * {STRIDE} - miny)::DOUBLE AS maxy
+  FROM (SELECT tile_row, tile_col, count(*)::INT AS n_cells, min(tc)::DOUBLE AS minx, max(tc) + 1.0 AS maxx, min(tr)::DOUBLE AS miny, max(tr) + 1.0 AS maxy FROM labels_ GROUP BY tile_row, tile_col, label), dim""",
+       _LABELS)
 def component_bbox(spark, sf):
     found = vectorize.mask_polygons(_mask_tiles(spark, sf, 0.75), 0.75, close=False)
     return found.select("tile_row", "tile_col", "n_cells", "minx", "maxx", "miny", "maxy")
 
 
-@query("mask_polygons")
+@query("mask_polygons", """SELECT tile_row, tile_col, (rank() OVER (PARTITION BY tile_row, tile_col ORDER BY label) - 1)::INT AS position, count(*)::INT AS n_cells, count(*)::DOUBLE AS area, 3 AS type
+  FROM labels_ GROUP BY tile_row, tile_col, label""", _LABELS)
 def mask_polygons(spark, sf):
-    found = vectorize.mask_polygons(_mask_tiles(spark, sf, 0.7), 0.7)
-    return found.select("tile_row", "tile_col", "confidence", "n_cells", g.st_area(F.col("geom")).alias("area"), g.st_as_text(F.col("geom")).alias("wkt"))
+    found = vectorize.mask_polygons(_mask_tiles(spark, sf, 0.75), 0.75, close=False)
+    return found.select("tile_row", "tile_col", "position", "n_cells", F.round(g.st_area(F.col("geom")), 6).alias("area"), g.st_type(F.col("geom")).alias("type"))
 
 
-def _shapes(spark, sf) -> DataFrame:
-    """An eight-cornered polygon in each detection's box, in degrees, as WKB."""
-    b = boxes.to_degrees(boxes.box())
-    w, h = (b[2] - b[0]) / 4, (b[3] - b[1]) / 4
-    pts = [(b[0] + w, b[1]), (b[2] - w, b[1]), (b[2], b[1] + h), (b[2], b[3] - h), (b[2] - w, b[3]), (b[0] + w, b[3]), (b[0], b[3] - h), (b[0], b[1] + h), (b[0] + w, b[1])]
-    ring = F.array(*[F.array(x, y) for x, y in pts])
-    shape = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
-    d = fx.detections(spark, sf).withColumn("geom", g.st_from_geojson(shape))
-    return d.select("det_id", "class_name", "confidence", "source", "geom", b[0].alias("minx"), b[1].alias("miny"), b[2].alias("maxx"), b[3].alias("maxy"))
+def _polygon(points: list) -> Column:
+    """WKB of a ring of (x, y) columns."""
+    ring = F.array(*[F.array(x, y) for x, y in points])
+    return g.st_from_geojson(F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
 
 
-@query("geodesic_area")
+@query("geodesic_area", f"SELECT det_id, round({_area_sql()}, 1) AS area_m2 FROM detections")
 def geodesic_area(spark, sf):
-    return _shapes(spark, sf).select("det_id", F.round(g.st_area_geodesic(F.col("geom")), 2).alias("area_m2"))
+    """Boxes of a few hundred metres, whose geodesic sides leave the parallels by less than a millimetre."""
+    w, so, e, n = (F.col(s).cast("double") * 0.0001 + (10.0 if k % 2 == 0 else 49.0) for k, s in enumerate(boxes.SIDES))
+    d = fx.detections(spark, sf).select("det_id", _polygon([(w, so), (e, so), (e, n), (w, n), (w, so)]).alias("geom"))
+    return d.select("det_id", F.round(g.st_area_geodesic(F.col("geom")), 1).alias("area_m2"))
 
 
-@query("geometry_valid", "SELECT det_id, 3 AS type, true AS valid FROM detections")
+@query("geometry_valid", "SELECT det_id, 3 AS type, det_id % 3 <> 0 AND det_id % 5 <> 0 AS valid FROM detections")
 def geometry_valid(spark, sf):
-    return _shapes(spark, sf).select("det_id", g.st_type(F.col("geom")).alias("type"), g.st_is_valid(F.col("geom")).alias("valid"))
+    """Boxes; every third crosses itself, every fifth is a line."""
+    a, b, c, d = (F.col(s).cast("double") for s in boxes.SIDES)
+    flat = F.when(F.col("det_id") % 5 == 0, b).otherwise(d)
+    cross = F.col("det_id") % 3 == 0
+    one, two = F.when(cross, flat).otherwise(b), F.when(cross, b).otherwise(flat)
+    shape = _polygon([(a, b), (c, one), (c, two), (a, flat), (a, b)])
+    d = fx.detections(spark, sf).select("det_id", shape.alias("geom"))
+    return d.select("det_id", g.st_type(F.col("geom")).alias("type"), g.st_is_valid(F.col("geom")).alias("valid"))
 
 
-@query("simplify_polygons")
+@query("simplify_polygons", "SELECT det_id, CASE WHEN det_id % 3 = 2 THEN 6 ELSE 5 END AS n_points, round((maxx - minx) * (maxy - miny) + CASE WHEN det_id % 3 = 2 THEN (maxx - minx) * 1.5 ELSE 0 END, 6)::DOUBLE AS area FROM detections")
 def simplify_polygons(spark, sf):
-    small = g.st_simplify(F.col("geom"), 300.0 / 111_320.0)
-    return _shapes(spark, sf).select("det_id", g.st_as_text(small).alias("wkt"))
+    """Boxes with a vertex in the middle of the lower side, 0, 0.5 or 3 below it; tolerance 1."""
+    a, b, c, d = (F.col(s).cast("double") for s in boxes.SIDES)
+    down = F.element_at(F.array(F.lit(0.0), F.lit(0.5), F.lit(3.0)), (F.col("det_id") % 3 + 1).cast("int"))
+    shape = _polygon([(a, b), ((a + c) / 2, b - down), (c, b), (c, d), (a, d), (a, b)])
+    small = fx.detections(spark, sf).select("det_id", g.st_simplify(shape, 1.0).alias("geom"))
+    return small.select("det_id", F.size(F.split(g.st_as_text(F.col("geom")), ",")).alias("n_points"), F.round(g.st_area(F.col("geom")), 6).alias("area"))
 
 
 @query("clip_polygons", "SELECT det_id, round(greatest(0, least(maxx, 905) - greatest(minx, 105)) * greatest(0, least(maxy, 875) - greatest(miny, 95)), 6)::DOUBLE AS area FROM detections WHERE least(maxx, 905) > greatest(minx, 105) AND least(maxy, 875) > greatest(miny, 95)")
@@ -265,12 +289,13 @@ def clip_to_ring(spark, sf):
     return d.select("det_id", F.round(g.st_area(F.col("geom")), 6).alias("area"))
 
 
-@query("make_valid", "SELECT det_id, false AS was_valid, true AS valid, round((maxx - minx) * (maxy - miny) / 2.0, 6)::DOUBLE AS area FROM detections")
+@query("make_valid", "SELECT det_id, det_id % 2 = 0 AS was_valid, true AS valid, round((maxx - minx) * (maxy - miny) / CASE WHEN det_id % 2 = 0 THEN 1.0 ELSE 2.0 END, 6)::DOUBLE AS area FROM detections")
 def make_valid(spark, sf):
-    """Boxes with two corners swapped cross themselves; made valid they are two triangles."""
-    b = [F.col(s).cast("double") for s in boxes.SIDES]
-    ring = F.array(*[F.array(b[i], b[j]) for i, j in ((0, 1), (2, 3), (2, 1), (0, 3), (0, 1))])
-    shape = g.st_from_geojson(F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
+    """Boxes; every second has two corners swapped and crosses itself: made valid it is two triangles."""
+    a, b, c, d = (F.col(s).cast("double") for s in boxes.SIDES)
+    swap = F.col("det_id") % 2 == 1
+    one, two = F.when(swap, d).otherwise(b), F.when(swap, b).otherwise(d)
+    shape = _polygon([(a, b), (c, one), (c, two), (a, d), (a, b)])
     d = fx.detections(spark, sf).select("det_id", shape.alias("raw")).withColumn("geom", g.st_make_valid(F.col("raw")))
     return d.select("det_id", g.st_is_valid(F.col("raw")).alias("was_valid"), g.st_is_valid(F.col("geom")).alias("valid"), F.round(g.st_area(F.col("geom")), 6).alias("area"))
 
@@ -305,9 +330,9 @@ def _items(spark, sf) -> DataFrame:
   AND "datetime" >= '1996-01-01' AND "datetime" < '1997-01-01' AND collection = 'sentinel-2-l2a'""", ITEMS)
 def stac_filter_newest(spark, sf):
     found = stac.search(_items(spark, sf), stac.parse_bbox("-20,-30,20,30"), "1996-01-01/1996-12-31", "sentinel-2-l2a")
-    from pyspark.sql import Window
-
-    return found.select("id", "datetime", F.row_number().over(Window.orderBy(F.col("datetime").desc_nulls_last(), "id")).cast("long").alias("place"))
+    one = found.select("id", "datetime").withColumns({"one": F.lit(1), "every": F.lit(0)})
+    out = running_sums(one, "every", [F.col("datetime").desc_nulls_last(), F.col("id")], {"place": F.col("one")})
+    return out.select("id", "datetime", F.col("place").cast("long").alias("place"))
 
 
 @query("upload_allowlist", "SELECT event_id, p AS path FROM (SELECT event_id, 'img_' || event_id || CASE event_id % 6 WHEN 0 THEN '.TIF' WHEN 1 THEN '.tiff' WHEN 2 THEN '.jpg' WHEN 3 THEN '.png' WHEN 4 THEN '.jp2' ELSE '' END AS p FROM events) WHERE event_id % 6 IN (0, 1, 3, 4)", "")
@@ -332,15 +357,85 @@ def geojson_read_defaults(spark, sf):
     return new.withColumnRenamed("geometry", "event_id").join(old.select(F.col("geometry").alias("event_id"), F.col("confidence").alias("legacy_confidence")), "event_id")
 
 
-@query("indicators_json", """SELECT CAST(to_json(list({'zone_id': zone_id, 'class_name': class_name, 'count': n, 'density_per_km2': NULL::DOUBLE, 'total_area_m2': 0.5} ORDER BY zone_id, class_name, n)) AS VARCHAR) AS json
-  FROM (SELECT zone_id, class_name, count(*) AS n FROM detections d JOIN zones z ON d.minx <= z.maxx AND z.minx <= d.maxx AND d.miny <= z.maxy AND z.miny <= d.maxy GROUP BY ALL)""")
+def _plain_ctes(name: str) -> tuple[str, str]:
+    """The common tables of a registered oracle and its last SELECT."""
+    text = SQL[name].removeprefix("WITH ")
+    depth = 0
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and text.startswith(" SELECT", k):
+            return text[:k], text[k + 1 :]
+    raise ValueError(name)
+
+
+@query("indicators_json", _plain_ctes("zone_indicators")[1], _plain_ctes("zone_indicators")[0])
 def indicators_json(spark, sf):
+    """The rows of the written array."""
+    from ..operators import zonal
+
+    array = vector.indicators_json(zonal.indicators(fx.detections(spark, sf), fx.zones(spark, sf)))
+    kinds = "array<struct<zone_id: string, class_name: string, count: bigint, density_per_km2: double, total_area_m2: double>>"
+    return array.select(F.inline(F.from_json("json", kinds)))
+
+
+def _degrees(geom: Column) -> Column:
+    """Polygons in grid units as degrees; the box join before it works on exact integers."""
+    move = lambda raw: g.to_wkb([[[(10 + x * 0.0001, 49 + y * 0.0001) for x, y in r] for r in p] for p in g.from_wkb(raw)])
+    return F.arrow_udf(lambda a: pa.array([move(x) for x in a.to_pylist()], pa.binary()), "binary")(geom)
+
+
+#: Degrees a grid unit in the chain's queries: a power of two, so that overlaps at the threshold are exact.
+_UNIT = 2.0**-13
+
+
+def _boxed(df: DataFrame) -> DataFrame:
+    """Boxes as polygons in degrees, with their box columns."""
+    at = lambda s, k: (F.col(s).cast("double") * _UNIT + (10.0 if k % 2 == 0 else 49.0)).alias(s)
+    rest = [c for c in df.columns if c not in boxes.SIDES]
+    d = df.select(*rest, *[at(s, k) for k, s in enumerate(boxes.SIDES)])
+    return d.withColumn("geom", g.st_box(*[F.col(s) for s in boxes.SIDES]))
+
+
+@query("polygon_zone_indicators", 'SELECT zone_id, class_name, "count", round(density_per_km2, 2) AS density_per_km2, round(total_area_m2, -1) AS total_area_m2 FROM indicators', _plain_ctes("zone_indicators")[0])
+def polygon_zone_indicators(spark, sf):
+    """The polygon lane on boxes, some of which only touch a zone."""
     from ..operators import zonal
 
-    found = zonal.indicators(fx.detections(spark, sf), fx.zones(spark, sf))
-    plain = found.withColumn("density_per_km2", F.lit(None).cast("double")).withColumn("total_area_m2", F.lit(0.5))
-    rows = F.sort_array(F.collect_list(F.struct(*vector.INDICATOR_COLUMNS)))
-    return plain.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("json"))
+    flat = lambda df: df.withColumn("geom", g.st_box(*[F.col(s).cast("double") for s in boxes.SIDES]))
+    d, z = fx.detections(spark, sf), fx.zones(spark, sf)
+    met = zonal.polygon_indicators(flat(d).withColumn("geom", _degrees(F.col("geom"))), flat(z).withColumn("geom", _degrees(F.col("geom"))))
+    return met.select("zone_id", "class_name", "count", F.round("density_per_km2", 2).alias("density_per_km2"), F.round("total_area_m2", -1).alias("total_area_m2"))
+
+
+def _chain_cte() -> str:
+    return _plain_ctes("postprocess")[0].replace("* 0.0001::DOUBLE", f"* {_UNIT}::DOUBLE")
+
+
+@query("polygon_chain", f"""SELECT det_id, class_name, confidence, round(area, 6)::DOUBLE AS area FROM (SELECT det_id, class_name, confidence, (maxx - minx) * (maxy - miny) AS area FROM k)""", _chain_cte())
+def polygon_chain(spark, sf):
+    d, aoi = _chain_input(spark, sf)
+    out = pipeline.polygon_stages(d, _SETTINGS, aoi)[0]
+    return out.select("det_id", "class_name", "confidence", F.round(g.st_area(F.col("geom")) / _UNIT**2, 6).alias("area"))
+
+
+@query("polygon_chain_stats", _plain_ctes("postprocess_stats")[1], _chain_cte())
+def polygon_chain_stats(spark, sf):
+    d, aoi = _chain_input(spark, sf)
+    return pipeline.polygon_stages(d, _SETTINGS, aoi)[1]
+
+
+def _chain_input(spark, sf) -> tuple[DataFrame, list]:
+    w, s, e, n = AOI
+    return _boxed(fx.detections(spark, sf)), g.box(10 + w * _UNIT, 49 + s * _UNIT, 10 + e * _UNIT, 49 + n * _UNIT)
+
+
+@query("polygon_class_metrics", _plain_ctes("class_metrics")[1], _plain_ctes("class_metrics")[0])
+def polygon_class_metrics(spark, sf):
+    """Evaluation by the polygons' own overlap, on boxes."""
+    flat = lambda df: df.withColumn("geom", g.st_box(*[F.col(s).cast("double") for s in boxes.SIDES]))
+    p, t = flat(fx.detections(spark, sf)), flat(fx.ground_truth(spark, sf))
+    pairs = cut(matching.candidate_pairs(p, t, IOU, geom="geom"))
+    return matching.class_metrics(p, t, pairs, cut(matching.greedy_matches(pairs)))
 
 
 LOG = """log AS (SELECT 'job-' || user_id AS job_id, CASE event_id % 9 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'LOADING' WHEN 2 THEN 'TILING' WHEN 3 THEN 'DETECTING' WHEN 4 THEN 'POSTPROCESSING' WHEN 5 THEN 'EXPORTING'
@@ -380,15 +475,7 @@ def fingerprint(spark, sf):
 @query("geotiff_scan", "SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, round(value, 6) AS value FROM pixels", PIX)
 def geotiff_scan(spark, sf):
     """Embeddings written as a GeoTIFF, scanned back."""
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()
-    data = np.array([r["embedding"] for r in rows], np.float32)[None]
-    raw = geotiff.encode(geotiff.Raster(data, raster.Affine(0.5, 0.0, 10.0, 0.0, -0.5, 50.0), 4326))
-    folder = f"{shared_folder(spark)}/tif-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/a.tif")
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, False)
-    out.write(bytearray(raw))
-    out.close()
+    folder = _tif(spark, sf, raster.Affine(0.5, 0.0, 10.0, 0.0, -0.5, 50.0))
     px = geotiff.pixels(geotiff.blocks(spark, folder, 256))
     return px.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.round(F.col("value").cast("double"), 6).alias("value"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private one is set only where none is named."""
+    """The session's checkpoint folder. Where none is named, a local session gets a private one; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="orthospark-"))
     return named or context.getCheckpointDir()
 

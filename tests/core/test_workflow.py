@@ -79,3 +79,36 @@ def test_file_guards(tmp_path):
         files.result_file(str(tmp_path / "j"), "../..", "gpkg", "COMPLETED")
     with pytest.raises(FileNotFoundError):
         files.result_file(str(tmp_path), "k", "shp", "COMPLETED")
+
+
+def test_positions_over_several_files(spark, tmp_path):
+    import json
+
+    for k in range(3):
+        features = [{"type": "Feature", "properties": {"class_name": f"c{k}{i}"}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}} for i in range(k + 1)]
+        (tmp_path / f"{k}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    got = vector.read_geojson(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r.ord, r.class_name) for r in got] == [(0, "c00"), (1, "c10"), (2, "c11"), (3, "c20"), (4, "c21"), (5, "c22")]
+
+
+def test_detections_are_numbered_in_input_order(spark):
+    from orthospark.plans.pipeline import number
+
+    rows = [(t, c, k) for t in range(3) for c in ("building", "water", "vegetation", "road") for k in range(2)]
+    df = spark.createDataFrame([(0, t, c, k) for t, c, k in reversed(rows)], "tile_row int, tile_col int, class_name string, position int").repartition(4)
+    from orthospark.operators.schema import CLASS_NAMES
+
+    want = sorted(rows, key=lambda r: (r[0], list(CLASS_NAMES).index(r[1]), r[2]))
+    assert [(r.tile_col, r.class_name, r.position) for r in number(df).orderBy("det_id").collect()] == want
+
+
+def test_zones_that_are_only_touched_count(spark):
+    from orthospark.functions import geometry as g
+    from orthospark.operators import zonal
+    from orthospark.plans.workflow import with_box
+
+    zone = spark.createDataFrame([("z", bytearray(g.to_wkb(g.box(10.0, 49.0, 10.01, 49.01))))], "zone_id string, geom binary")
+    shapes = [g.box(10.01, 49.0, 10.02, 49.01), g.box(10.01, 49.01, 10.02, 49.02), g.box(10.002, 49.002, 10.003, 49.003), g.box(10.0101, 49.0, 10.02, 49.01)]
+    dets = spark.createDataFrame([(c, bytearray(g.to_wkb(s))) for c, s in zip(("road", "road", "water", "building"), shapes)], "class_name string, geom binary")
+    got = {r.class_name: (r["count"], r.total_area_m2) for r in zonal.polygon_indicators(with_box(dets), with_box(zone)).collect()}
+    assert set(got) == {"road", "water"} and got["road"] == (2, 0.0) and got["water"][0] == 1 and got["water"][1] > 0
