@@ -10,8 +10,11 @@ at most once a tier.
 
 Every write goes to a fresh folder below ``data/`` first; a version becomes visible by renaming
 its finished manifest into place, which fails if another writer has taken the number (the commit
-is then retried on the new version). Lost tasks leave files that no manifest names;
-``vacuum`` removes those and what superseded versions alone name. A merged file is one partition of a plain
+is then retried on the new version). That needs a file system whose rename is atomic and refuses
+an existing target: local files, HDFS and the hierarchical stores of ``ATOMIC``; others (plain object stores copy and
+delete) are refused unless the caller vouches for a single writer. Lost tasks leave files that no manifest names;
+``vacuum`` removes those and what old versions alone name, but no file younger than an age above
+that of any append in flight and none of the versions to keep. A merged file is one partition of a plain
 scan of its sources, so merging shuffles nothing; a run has at most the target's size, so a
 task's work is bounded.
 
@@ -22,9 +25,9 @@ like a result column of ``places`` are only read under their own names by ``read
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -34,6 +37,10 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, table
 
 
+#: Schemes of file systems on which a rename is atomic and fails where the target exists.
+ATOMIC = ("file", "hdfs", "viewfs", "webhdfs", "abfs", "abfss", "ofs")
+
+
 @dataclass(frozen=True)
 class Shard:
     """One immutable file: its path below the store, bytes, and the merges behind it."""
@@ -58,13 +65,18 @@ class ConcurrentCommit(RuntimeError):
 
 
 class ShardStore:
-    """A sharded table below ``root``, any folder that Spark's file systems can reach."""
+    """A sharded table below ``root``, a folder of a file system in ``ATOMIC``, or of any with ``single_writer``."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, single_writer: bool = False) -> None:
+        # a session of its own: unions keep each member a partition; else single partitions become one
+        self.spark, self.root = spark.newSession(), root.rstrip("/")
+        self.spark.conf.set("spark.sql.unionOutputPartitioning", "false")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        scheme = self._fs.getUri().getScheme()
+        if scheme not in ATOMIC and not single_writer:
+            raise ValueError(f"renames in {scheme} don't exclude a second writer")
 
     def _exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
@@ -111,20 +123,6 @@ class ShardStore:
         df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
         return [Shard(f"{folder}/{n}", size, level) for n, size in self._list(f"{self.root}/{folder}") if n.startswith("part-")]
 
-    @contextlib.contextmanager
-    def _separate_unions(self):
-        """Keep each member of a union a partition of its own; else single partitions become one."""
-        name = "spark.sql.unionOutputPartitioning"
-        old = self.spark.conf.get(name, None)
-        self.spark.conf.set(name, "false")
-        try:
-            yield
-        finally:
-            if old is None:
-                self.spark.conf.unset(name)
-            else:
-                self.spark.conf.set(name, old)
-
     def append(self, df: DataFrame) -> int:
         """Add the rows of ``df`` as small shards; returns the new version."""
         new = self._write(df, 0)
@@ -147,8 +145,7 @@ class ShardStore:
             for a in range(0, len(runs), policy.merges_a_job):
                 part = runs[a : a + policy.merges_a_job]
                 frames = [self._scan([s.path for s in run]).coalesce(1) for run in part]
-                with self._separate_unions():
-                    merged += self._write(functools.reduce(DataFrame.unionByName, frames), 1 + max(s.level for run in part for s in run))
+                merged += self._write(functools.reduce(DataFrame.unionByName, frames), 1 + max(s.level for run in part for s in run))
             gone = {s.path for run in runs for s in run}
             try:
                 self.commit([s for s in shards if s.path not in gone] + merged, base)
@@ -159,28 +156,39 @@ class ShardStore:
         return self.spark.read.parquet(*[f"{self.root}/{p}" for p in paths])
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version."""
-        return self._scan([s.path for s in self.manifest(version)])
+        """The rows of a version; nothing before the first."""
+        shards = self.manifest(version)
+        return self._scan([s.path for s in shards]) if shards else self.spark.range(0).select()
 
     def places(self, id_col: str = "doc_id", version: int | None = None) -> DataFrame:
         """doc_id, shard (file name), shard_bytes and row of every row of a version."""
         shards = self.manifest(version)
+        if not shards:
+            return self.spark.createDataFrame([], "doc_id long, shard string, shard_bytes long, row long")
         rows = self._scan([s.path for s in shards]).select(
             F.col(f"`{id_col}`").alias("doc_id"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("shard_bytes"), F.col("_metadata.row_index").alias("row")
         )
         return rows.select("doc_id", F.regexp_extract("p", "([^/]+/[^/]+)$", 1).alias("shard"), "shard_bytes", "row")
 
-    def vacuum(self) -> int:
-        """Delete the files that the newest version doesn't name; returns how many."""
-        named, n = {s.path for s in self.manifest()}, 0
+    def vacuum(self, keep_versions: int = 2, min_age_s: float = 24 * 3600) -> int:
+        """Delete files of at least ``min_age_s`` that none of the last ``keep_versions`` versions names; returns how many.
+
+        Files of an append that isn't committed yet are younger, if no append takes longer than that.
+        """
+        newest, n = self.version(), 0
+        named = {s.path for v in range(max(1, newest - keep_versions + 1), newest + 1) for s in self.manifest(v)}
+        before = (time.time() - min_age_s) * 1000
         for folder, _ in self._list(f"{self.root}/data"):
-            files = [f for f, _ in self._list(f"{self.root}/data/{folder}") if f.startswith("part-")]
-            for f in files:
-                if f"data/{folder}/{f}" not in named:
+            place = self._path(f"{self.root}/data/{folder}")
+            files = [(s.getPath().getName(), s.getModificationTime()) for s in self._fs.listStatus(place)]
+            gone = [f for f, at in files if f"data/{folder}/{f}" not in named and at <= before]
+            parts = [f for f in gone if f.startswith("part-")]
+            n += len(parts)
+            if len(gone) == len(files) and self._fs.getFileStatus(place).getModificationTime() <= before:
+                self._fs.delete(place, True)
+            else:
+                for f in parts:
                     self._fs.delete(self._path(f"{self.root}/data/{folder}/{f}"), False)
-                    n += 1
-            if not any(f"data/{folder}/{f}" in named for f in files):
-                self._fs.delete(self._path(f"{self.root}/data/{folder}"), True)
         return n
 
 
@@ -215,11 +223,10 @@ def plan_merges(shards: list[Shard], policy: Policy) -> list[list[Shard]]:
 
 
 def shard_documents(docs: DataFrame, root: str, policy: Policy = Policy()) -> ShardStore:
-    """Append ``docs`` to the store at ``root``, compact it and remove superseded files."""
+    """Append ``docs`` to the store at ``root`` and compact it; superseded files stay for ``vacuum``."""
     store = ShardStore(docs.sparkSession, root)
     store.append(docs)
     store.compact(policy)
-    store.vacuum()
     return store
 
 

@@ -27,7 +27,11 @@ def test_appends_merges_and_versions(spark, corpus, empty, tmp_path):
     assert content(store.read()) == before == content(corpus)
     assert content(store.read(6)) == before  # an old version until it is vacuumed
     assert store.compact(policy) == last  # nothing left to do
-    assert store.vacuum() > 0 and content(store.read()) == before
+    assert store.vacuum() == 0 and content(store.read(6)) == before  # too young to go
+    assert store.vacuum(keep_versions=last, min_age_s=0) == 0  # and named by a version to keep
+    assert store.vacuum(min_age_s=0, keep_versions=1) > 0 and content(store.read()) == before
+    none = S.ShardStore(spark, str(tmp_path / "none"))
+    assert none.places().count() == 0 and none.read().count() == 0
     places = store.places().collect()
     assert len(places) == corpus.count() == len({(p.shard, p.row) for p in places})
     other = S.ShardStore(spark, str(tmp_path / "empty"))
@@ -43,6 +47,33 @@ def test_a_taken_version_is_refused(spark, corpus, tmp_path):
     assert store.version() == 1
 
 
+def test_two_writers_lose_nothing(spark, corpus, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "two")
+
+    def write(k):
+        store = S.ShardStore(spark, root)
+        for i in range(4):
+            store.append(spark.range(10).selectExpr(f"id + {1000 * k + 100 * i} AS doc_id").coalesce(1))
+            if i == 2:
+                store.compact(S.Policy(target_bytes=1 << 20, fan_in=2))
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, range(2)))
+    store = S.ShardStore(spark, root)
+    got = sorted(r.doc_id for r in store.read().collect())
+    assert got == sorted(1000 * k + 100 * i + j for k in range(2) for i in range(4) for j in range(10))
+    assert store.version() >= 9
+
+
+def test_stores_without_atomic_renames_are_refused(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(S, "ATOMIC", ("hdfs",))
+    with pytest.raises(ValueError):
+        S.ShardStore(spark, str(tmp_path))
+    assert S.ShardStore(spark, str(tmp_path), single_writer=True).version() == 0
+
+
 def test_plan_takes_similar_sizes_up_to_the_target():
     shards = [S.Shard(f"a{i}", 10, 0) for i in range(9)] + [S.Shard("big", 900, 2), S.Shard("mid", 200, 1)]
     runs = S.plan_merges(shards, S.Policy(target_bytes=1000, fan_in=4, max_run=4))
