@@ -1,5 +1,9 @@
 """N-best segmentation over the lattice of a SentencePiece vocabulary, and decoding.
 
+Scores: those of a unigram model are log probabilities and are taken as they are. Those of a BPE model are
+merge ranks, whose sums are no likelihoods (they prefer crumbs); they become log probabilities by Zipf's law,
+p(rank) in proportion to 1 / (rank + 2.7), in steps of 2^-20, so that sums are exact.
+
 The lattice of a text has a node between any two characters and an edge for every piece that
 matches; a character that is no piece has one edge with its byte pieces. A segmentation's score
 is the sum of its pieces' scores. Forward Viterbi gives every node the best score from the
@@ -21,9 +25,11 @@ segmentations give fewer rows; repeated rows get equal results; other columns ar
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import zlib
 from array import array
+from collections.abc import Iterable
 
 import public_tokenizers
 import pyarrow as pa
@@ -35,10 +41,17 @@ from .common import resident, strings, table
 
 MARK, _LITERAL = "▁", "\udfff"
 UNKNOWN_LOSS = 10.0
+#: Offset of ranks in Zipf's law (as Mandelbrot has it).
+ZIPF = 2.7
 _LOW = float("-inf")
 SCHEMA = "doc_id long, n_ids long, score double, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, round_trip boolean"
 
 
+def merge_ranks(scores: Iterable[float]) -> bool:
+    """Are these the scores of a BPE model: whole numbers of 0 or less, as no log probabilities are?"""
+    return all(s <= 0 and s == int(s) for s in scores)
+
+
 class Pieces(dict):
     """The vocabulary; as a dict, word -> (ids, score, loss of the second best)."""
 
@@ -58,6 +71,9 @@ class Pieces(dict):
             else:
                 self.ids[p], self.score[p] = i, float(sp.get_score(i))
                 self.text.append(p.replace(MARK, " ").encode())
+        if merge_ranks(self.score.values()):
+            total = sum(1 / (ZIPF - s) for s in self.score.values())
+            self.score = {p: -round(math.log((ZIPF - s) * total) * 2**20) / 2**20 for p, s in self.score.items()}
         self.unknown = min(self.score.values()) - UNKNOWN_LOSS
         #: Every beginning of a piece -> its score, False where it is no piece itself.
         self.walk: dict = {p[:k]: False for p in self.ids for k in range(1, len(p) + 1)} | self.score
@@ -235,11 +251,19 @@ class Pieces(dict):
                 heapq.heappush(queue, (lost2, tie, changes2))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """The text of a segmentation."""
-        text = self.text
-        raw = b"".join([text[i] for i in memoryview(ids).cast("I")])
-        return raw.decode("utf-8", "surrogatepass")[1:]
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of a segmentation.
+
+        An id that is no piece, and bytes that are no character, give U+FFFD; a space in front (the mark of the
+        first word) goes, and nothing else.
+        """
+        text, n = self.text, len(self.text)
+        raw = b"".join([text[i] if i is not None and 0 <= i < n else b"\xef\xbf\xbd" for i in ids])
+        try:
+            out = raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            out = raw.decode("utf-8", "replace")
+        return out.removeprefix(" ")
 
 
 def pieces(path: str) -> Pieces:
@@ -263,7 +287,7 @@ def encode_nbest(docs: DataFrame, model: str | None = None, n: int = 4, id_col:
             for t in strings(b.column(1)):
                 found = vocabulary.encode(t, n)
                 score, ids = found[0]
-                row = [len(ids) // 4, score, zlib.crc32(ids), [s for s, _ in found], [zlib.crc32(x) for _, x in found], vocabulary.decode(ids) == t]
+                row = [len(ids) // 4, score, zlib.crc32(ids), [s for s, _ in found], [zlib.crc32(x) for _, x in found], vocabulary.decode(memoryview(ids).cast("I")) == t]
                 out.append(row + ([[memoryview(x).cast("I").tolist() for _, x in found]] if with_ids else []))
             cols = list(zip(*out)) if out else [()] * (6 + with_ids)
             kinds = [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
@@ -274,13 +298,16 @@ def encode_nbest(docs: DataFrame, model: str | None = None, n: int = 4, id_col:
 
 
 def decode(encoded: DataFrame, ids_col: str, model: str | None = None) -> DataFrame:
-    """``encoded`` with the text of the ids in ``ids_col`` as ``decoded``; null ids give null."""
+    """``encoded`` with the text of the ids in ``ids_col`` as ``decoded``.
+
+    A null list gives null and an empty one the empty text; any ids decode (``Pieces.decode``), null ones too.
+    """
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
         v = pieces(path)
-        return pa.array([None if x is None else v.decode(array("I", x).tobytes()) for x in ids.to_pylist()], pa.string())
+        return pa.array([None if x is None else v.decode(x) for x in ids.to_pylist()], pa.string())
 
     return encoded.withColumn("decoded", text(F.col(f"`{ids_col}`")))
 

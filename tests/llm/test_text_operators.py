@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -259,7 +260,7 @@ def test_pseudonyms_keep_formats(spark, empty):
     assert luhn(re.sub(r"\D", "", got[2].text)) and luhn(got[1].text[:16])
     assert (got[90].text, got[91].text) == (None, "") and got[92].text.startswith("x x ") and not got[92].text.endswith("4952935900253052")
     assert got[92].text[-16:] == got[1].text[:16]  # equal values stay linked
-    assert pii.pseudonymize(empty).columns == empty.columns
+    assert pii.pseudonymize(empty, "k").columns == empty.columns
     other = {r.doc_id: r.text for r in pii.pseudonymize(df, key="other").collect()}
     assert other[1] != got[1].text
 
@@ -430,7 +431,7 @@ def test_nbest_matches_enumeration():
             assert len({x for _, x in got}) == len(got)
             for s, raw in got:
                 ids = tuple(memoryview(raw).cast("I"))
-                assert (s, ids) in want and v.decode(raw) == text
+                assert (s, ids) in want and v.decode(ids) == text
 
 
 @settings(max_examples=100, deadline=None)
@@ -438,7 +439,33 @@ def test_nbest_matches_enumeration():
 def test_round_trip(text):
     text = text.encode("utf-8", "ignore").decode()
     v = piece_nbest.pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    assert all(v.decode(raw) == text for _, raw in v.encode(text, 3))
+    assert all(v.decode(memoryview(raw).cast("I")) == text for _, raw in v.encode(text, 3))
+
+
+def test_best_pieces_are_close_to_the_librarys():
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    v = piece_nbest.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    for t in ("hello world", "international understanding of complicated mathematical philosophy"):
+        assert len(v.encode(t, 4)[0][1]) // 4 == len(sp.encode(t))
+    assert piece_nbest.merge_ranks([0.0, -1.0, -2.0]) and not piece_nbest.merge_ranks([-1.5, -2.25])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-3, 33_000)), max_size=20))
+def test_any_ids_decode(ids):
+    v = piece_nbest.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    out = v.decode(ids)
+    out.encode("utf-8", "surrogatepass")
+    if any(i is None or not 0 <= i < len(v.text) for i in ids):
+        assert "\ufffd" in out
+
+
+def test_decode_of_a_table(spark):
+    v = piece_nbest.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    a, e2 = v.ids["a"], v.byte[0xE2]
+    df = spark.createDataFrame([(1, [a, a]), (2, [e2]), (3, [-1, 99_999]), (4, []), (5, None), (6, [v.ids["\u2581a"]])], "k int, ids array<int>")
+    got = {r.k: r.decoded for r in piece_nbest.decode(df, "ids").collect()}
+    assert got == {1: "aa", 2: "\ufffd", 3: "\ufffd\ufffd", 4: "", 5: None, 6: "a"}
 
 
 def test_pieces_table(corpus, empty):
