@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": jaccard_join.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_best_fit_packing": packing.query,
+        "packing_under_limits": packing.limits_query,
         "op5_quality_cotraining": cotrain.query,
         "op6_size_tiered_sharding": sharding.query,
         "op7_stupid_backoff": lm_score.query,

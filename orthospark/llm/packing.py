@@ -9,8 +9,8 @@ sequence is opened only when none fits.
 Pieces of equal length are equal vectors, so the plan is made over the histogram of lengths: open
 sequences with equal residuals are one class with a count. The plan has at most a few rows for
 each length whatever the number of documents; it is made on the driver and broadcast. Each piece
-finds its slot by its rank among the pieces of its length; ranks are counted by (length, salt),
-so no length is ever collected in one task.
+finds its slot by its rank among the pieces of its length; ranks are counted by (length, salt) with a
+salt drawn from the place of the row in the written pieces, so neither a length nor equal rows meet in one task.
 
 Edge cases: null text counts as empty (one end token); pieces of repeated rows are placed each;
 documents longer than a sequence are cut into full pieces and a rest; an empty table gives an
@@ -138,14 +138,16 @@ def pieces_of(docs: DataFrame, tokenizer: str, cap: int, id_col: str, text_col:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, cap: Capacity = Capacity(), id_col: str = "doc_id",
-         text_col: str = "text", with_ids: bool = False, salt_rows: int = 100_000) -> DataFrame:
+         text_col: str = "text", with_ids: bool = False, salt_rows: int = 100_000, cut: int | None = None) -> DataFrame:
     """Pieces with sequence_id and offset; ``with_ids`` adds the token ids.
 
+    ``cut``: length of a piece at most, a sequence's by default (one piece must fit every limit).
+
     ``salt_rows``: about as many pieces share a salt, so a group of equal length is split
     over as many ranks counters as the data need.
     """
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    pieces = checkpointed(pieces_of(docs, tokenizer, cap.tokens, id_col, text_col, with_ids))
+    pieces = checkpointed(pieces_of(docs, tokenizer, cut or cap.tokens, id_col, text_col, with_ids))
     hist = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most cap.tokens rows
     total = sum(hist.values())
     salts = max(256, -(-total // salt_rows))
@@ -153,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, cap: Capacity = Capacity
     rows, _ = plan(lengths, np.array([hist[x] for x in lengths], np.int64), cap)
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
-    salted = pieces.withColumn("__pk_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("__pk_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)))
     sizes = salted.groupBy("length", "__pk_salt").agg(F.count(F.lit(1)).alias("__pk_n"))
     before = Window.partitionBy("length").orderBy("__pk_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("length", "__pk_salt", F.coalesce(F.sum("__pk_n").over(before), F.lit(0)).alias("__pk_first"))
@@ -189,6 +191,12 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
+def limits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens, 12 documents and 8 million units of attention cost: limits that bind."""
+    cap = Capacity(documents=12, attention=8_000_000, weights=(1.0, 0.5, 0.5), rule="dot")
+    return pack(table(spark, sf_dir, "documents"), cap=cap, cut=2048)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: all documents in sequences of at most 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"))
