@@ -92,7 +92,9 @@ def plan(lengths: np.ndarray, counts: np.ndarray, cap: Capacity) -> tuple[np.nda
                 state, first, have, offset = res[j].copy(), int(lo[j]), int(num[j]), int(used[j])
             else:
                 j, state, first, have, offset = -1, c.copy(), n_seq, left, 0
-            m = int(min((state / v).min(), left))  # the best class stays the best for its equals
+            # By the norm, and if nothing else has room, a sequence stays the best for the next equal piece; by the
+            # dot product one with less room scores less, so each sequence of the class gets one.
+            m = 1 if j >= 0 and cap.rule == "dot" else int(min((state / v).min(), left))
             k = min(have, left // m)
             rows.append((length, rank, first, m, offset))
             rank, left = rank + k * m, left - k * m

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -229,6 +230,39 @@ def test_plan_is_best_fit_and_near_the_bound():
     assert packing.plan(u, c, packing.Capacity(tokens=50, weights=(1.0, 0.0, 0.0)))[1] == len(rooms)
 
 
+def test_vector_plan_matches_one_by_one():
+    """Pieces one by one in decreasing length: the open sequence of the best score with room in every component."""
+    rng = np.random.default_rng(3)
+    for cap in (packing.Capacity(tokens=60, documents=4, attention=900), packing.Capacity(tokens=60, documents=5, attention=1200, weights=(1.0, 0.5, 0.5), rule="dot")):
+        x = np.minimum(29, rng.integers(1, 40, 400))
+        c, w = cap.vector(), np.array(cap.weights)
+        open_, used = [], []
+        for v in sorted(x.tolist(), reverse=True):
+            p = np.array([v, 1.0, float(v) ** 2])
+            best = None
+            for i, r in enumerate(open_):
+                if (r >= p).all():
+                    s = -(w * ((r - p) / c) ** 2).sum() if cap.rule == "norm" else (w * (r / c) * (p / c)).sum()
+                    if best is None or s > best[0] + 1e-12:
+                        best = (s, i)
+            if best is None:
+                open_.append(c.copy())
+                used.append([])
+                best = (0, len(open_) - 1)
+            open_[best[1]] -= p
+            used[best[1]].append(v)
+        u, k = np.unique(x, return_counts=True)
+        rows, n = packing.plan(u, k, cap)
+        assert n == len(used)
+        seqs = {}
+        for length, rank, first, slots, _ in rows.tolist():
+            later = [r for l, r, *_ in rows.tolist() if l == length and r > rank]
+            for t in range((min(later) if later else int(k[u == length][0])) - rank):
+                seqs.setdefault(first + t // slots, []).append(length)
+        assert sorted(map(sorted, seqs.values())) == sorted(map(sorted, used))
+assert n > packing.plan(u, k, packing.Capacity(tokens=60))[1]  # the other limits bind
+
+
 # ---- pseudonyms
 
 
@@ -281,6 +315,109 @@ def test_permutations_are_bijective_and_valid(spark):
     assert out.distinct().count() == 500 and all(luhn(r.p) for r in out.collect())
 
 
+# ---- pseudonyms, by a Feistel network written anew in plain Python
+
+
+def slow_stream(key, kind, i, other):
+    import hashlib
+
+    first = hashlib.sha512("|".join([key, kind, str(i), other]).encode()).hexdigest()
+    return first + hashlib.sha512((first + "+").encode()).hexdigest()
+
+
+def slow_string(core, key, kind, hexadecimal=False):
+    a, b = core[: len(core) // 2], core[len(core) // 2 :]
+
+    def add(half, stream):
+        out = []
+        for i, c in enumerate(half):
+            alphabet = "0123456789abcdef" if hexadecimal else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz"
+            out.append(alphabet[(alphabet.index(c) + int(stream[4 * i : 4 * i + 4], 16)) % len(alphabet)])
+        return "".join(out)
+
+    for i in range(8):
+        if i % 2 == 0:
+            a = add(a, slow_stream(key, kind, i, b))
+        else:
+            b = add(b, slow_stream(key, kind, i, a))
+    return a + b
+
+
+def slow_pair(x, y, m, n, key, kind):
+    import hashlib
+
+    for i in range(8):
+        drawn = int(hashlib.sha256("|".join([key, kind, str(i), str(y if i % 2 == 0 else x)]).encode()).hexdigest()[:12], 16)
+        if i % 2 == 0:
+            x = (x + drawn) % m
+        else:
+            y = (y + drawn) % n
+    return x, y
+
+
+def refilled(shape, core):
+    it = iter(core)
+    return "".join((lambda v: v.upper() if c.isupper() else v)(next(it)) if c.isalnum() else c for c in shape)
+
+
+def slow_pseudonym(kind, v, key):
+    import datetime
+
+    plain = "".join(c for c in v if c.isalnum())
+    if kind == "email":
+        local, rest = v.split("@")
+        return refilled(local, slow_string("".join(c for c in local.lower() if c.isalnum()), key, kind)) + "@" + rest
+    if kind == "secret":
+        out = slow_string(v.lower(), key, kind, True)
+        return out.upper() if v != v.lower() else out
+    if kind == "phone":
+        head = max(len(plain) - 10, 1) if v.startswith("+") else 0
+        return refilled(v, plain[:head] + slow_string(plain[head:], key, kind))
+    if kind == "card":
+        body = slow_string(plain[:-1], key, kind)
+        return refilled(v, body + str(next(d for d in range(10) if luhn(body + str(d)))))
+    if kind == "iban":
+        body = slow_string(plain[4:].lower(), key, kind).upper()
+        number = int("".join(str(int(c, 36)) for c in body + plain[:2] + "00"))
+        return refilled(v, plain[:2] + f"{98 - number % 97:02d}" + body)
+    if kind == "ipv4":
+        o = [int(x) for x in v.split(".")]
+        x, y = slow_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, kind)
+        return f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+    if kind == "ssn":
+        a, b, c = (int(x) for x in v.split("-"))
+        x, y = slow_pair(a - 1 - (a > 666), (b - 1) * 9999 + c - 1, 898, 99 * 9999, key, kind)
+        return f"{x + 1 + (x >= 665):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+    first = datetime.date(1800, 1, 1)  # a date of a year in whole cycles
+    d = (datetime.date.fromisoformat(v) - first).days
+    cycle, r = divmod(d, 146_097)
+    x, y = slow_pair(r // 773, r % 773, 189, 773, key, kind)
+    return (first + datetime.timedelta(days=cycle * 146_097 + x * 773 + y)).isoformat()
+
+
+def test_pseudonyms_match_plain_python(spark):
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    values = []
+    for _ in range(15):
+        card = digits(15)
+        octets = [str(rng.randint(0, 255)) for _ in range(4)]
+        body = "WEST" + digits(14)
+        check = 98 - int("".join(str(int(c, 36)) for c in body + "GB00")) % 97
+        values += [
+            ("email", f"Ab{digits(2)}.x{digits(3)}@mail.example.com"), ("secret", "".join(rng.choice("0123456789abcdef") for _ in range(40))), ("secret", "".join(rng.choice("ABCDEF") for _ in range(32))),
+            ("secret", "".join(rng.choice("abcdef") for _ in range(32))), ("phone", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"), ("card", card + str(next(d for d in range(10) if luhn(card + str(d))))),
+            ("ipv4", ".".join(octets)), ("ssn", f"{rng.choice([1, 99, 665, 667, 899]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"), ("date", f"{rng.randint(1000, 2999)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}"),
+            ("iban", f"GB{check:02d}{body}"),
+        ]
+    df = spark.createDataFrame([(i, f"{'' if i % 2 else 'a 1 '}so {v} it is") for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k", found_col="n").collect()}
+    for i, (kind, v) in enumerate(values):
+        assert (got[i].n, got[i].text) == (1, f"{'' if i % 2 else 'a 1 '}so {slow_pseudonym(kind, v, 'k')} it is"), (kind, v)
+    with pytest.raises(ValueError):
+        pii.pseudonymize(df, "")
+
+
 # ---- co-training
 
 
