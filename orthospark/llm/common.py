@@ -1,12 +1,13 @@
 """Shared plumbing of the training-data operators.
 
 Lineage is cut only with ``checkpoint()`` into the folder that the session names
-in ``spark.checkpoint.dir``; a private folder is set only where none is named.
+in ``spark.checkpoint.dir``; a local session without one gets a private folder, a cluster an error.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 from collections.abc import Callable, Iterator
@@ -30,6 +31,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orthospark-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

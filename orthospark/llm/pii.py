@@ -15,7 +15,9 @@ pseudonyms in every document and different values different ones:
 Cards keep a valid Luhn digit and bank accounts valid check digits; separators, letter case,
 country codes and the domains of e-mail addresses stay. Numbers that fail validation stay as
 they are, and so do dates with a year of two digits or a month in words, seven-digit phone numbers, and
-ten digits without separators. Key: parameter ``key``; without the key pseudonyms can't be inverted.
+ten digits without separators. The caller must give ``key`` and keep it
+secret; who doesn't know it can't invert pseudonyms. The registered query and the pipeline use TEST_KEY, which
+is public and protects nothing.
 
 Edge cases: null text stays null (0 found), empty text stays empty; a text of any length is
 searched whole; repeated rows get equal results; an empty table gives an empty result; input
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import table, without
 
 ROUNDS = 8
+#: For the registered queries over synthetic tables only.
+TEST_KEY = "a public key for tests"
 DIGITS, HEX, LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
@@ -43,6 +47,8 @@ PATTERNS = {
     r"|(?<![\w(+-])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|(?<![\w.-])\d{3}([-. ])\d{3}\2\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{4}([ -])\d{6}\4\d{5})(?![\w-])",
 }
+#: Part of every match of every pattern: a digit, an at sign, or a secret of letters only.
+POSSIBLE = "[0-9@]|[a-f]{32}|[A-F]{32}"
 ANY = "(" + "|".join(PATTERNS.values()) + ")"
 _BASE_DAY = "1800-01-01"
 _CYCLE = 146097  # days of 400 years = 189 * 773
@@ -248,12 +254,14 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = "orthospark", found_col: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; ``found_col`` adds the number of replaced values."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(f"`{text_col}`")
     names = [c for c in docs.columns if c.lower() not in {_M, _T, (found_col or "").lower()}]
     rows = without(docs, [_M, _T, found_col or ""])
-    found = rows.withColumn(_M, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(1))))
+    found = rows.withColumn(_M, F.when(text.rlike(POSSIBLE), F.regexp_extract_all(text, F.lit(ANY), F.lit(1))))
     new = F.transform(F.col(_M), lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
     found = found.withColumn(_M, F.when(F.size(_M) > 0, new))
     gaps = F.split(text, ANY, -1)
@@ -267,4 +275,4 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = "orthospark
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: pseudonymised texts of all documents and the number of values replaced."""
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="n_replaced")
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY, found_col="n_replaced")
