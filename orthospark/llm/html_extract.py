@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import release, strings, table
 
+#: A quote counts only behind an equals sign and if it is closed before a space or the end of a tag.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>]|\Z)|[^>])*+)(?:>|\Z)",
     re.S,
 )
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -81,13 +82,15 @@ _E = math.e
 
 
 class _Node:
-    __slots__ = ("tag", "up", "kids", "noise", "own", "size", "links", "holds", "chars", "tags", "lchars", "ltags", "density", "total")
+    __slots__ = ("tag", "up", "kids", "noise", "own", "size", "links", "holds", "chars", "tags", "lchars", "ltags", "density", "total", "inside", "after", "place", "below")
 
     def __init__(self, tag: str, up: "_Node | None", noise: int) -> None:
         self.tag, self.up, self.kids, self.noise = tag, up, [], noise
         self.own = self.size = self.links = self.holds = 0
         self.chars = self.tags = self.lchars = self.ltags = 0
         self.density = self.total = 0.0
+        self.inside = self.after = False
+        self.place = self.below = 0
 
 
 def _noise(tag: str, attrs: str) -> int:
@@ -116,11 +119,52 @@ def _noise(tag: str, attrs: str) -> int:
 _CARD = frozenset("comment comments reply ad ads advert sponsored promo related".split())
 
 
+class _Open:
+    """The path of open elements: how many of each tag there are, in all and since the last element of SCOPE."""
+
+    def __init__(self, root: _Node) -> None:
+        self.root = self.node = root
+        self.every: dict[str, int] = {}
+        self.scopes: list[tuple[str, dict[str, int]]] = [("", {})]
+
+    def push(self, node: _Node) -> None:
+        self.node, tag = node, node.tag
+        self.every[tag] = self.every.get(tag, 0) + 1
+        if tag in SCOPE:
+            self.scopes.append((tag, {}))
+        else:
+            inner = self.scopes[-1][1]
+            inner[tag] = inner.get(tag, 0) + 1
+
+    def pop(self) -> None:
+        tag = self.node.tag
+        self.every[tag] -= 1
+        if tag in SCOPE:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][1][tag] -= 1
+        self.node = self.node.up
+
+    def pop_through(self, tags: frozenset | set) -> None:
+        """Close elements up to the nearest of ``tags``, that one too."""
+        while self.node.tag not in tags:
+            self.pop()
+        self.pop()
+
+    def near(self, tags: frozenset | set) -> bool:
+        """Is one of ``tags`` open, no other element of SCOPE between?"""
+        last, inner = self.scopes[-1]
+        return last in tags or any(inner.get(t) for t in tags)
+
+
+_P = frozenset("p")
+
+
 def parse(page: str) -> _Node:
-    """A tolerant DOM: children are nodes or strings (decoded text)."""
+    """A tolerant DOM: children are nodes or strings (decoded text). Every element is opened and closed once."""
     root = _Node("html", None, 0)
-    node, at, n = root, 0, len(page)
-    add_text = lambda s: node.kids.append(_html.unescape(s) if "&" in s else s)
+    path, at, n = _Open(root), 0, len(page)
+    add_text = lambda s: path.node.kids.append(_html.unescape(s) if "&" in s else s)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -132,45 +176,32 @@ def parse(page: str) -> _Node:
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                node.kids.append(m[0][9:].removesuffix("]]>"))
+                path.node.kids.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
-            x = node
-            while x is not root and x.tag != tag:
-                if tag not in SCOPE and x.tag in SCOPE:
-                    break
-                x = x.up
-            if x.tag == tag and x is not root:
-                node = x.up
+            if path.every.get(tag) if tag in SCOPE else path.scopes[-1][1].get(tag):
+                path.pop_through({tag})
             elif tag == "p":
-                node.kids.append(_Node("p", node, 0))
+                path.node.kids.append(_Node("p", path.node, 0))
             continue
         if tag == "html":
             continue
         closes = CLOSES.get(tag)
-        if closes:
-            x = node
-            while x is not root and x.tag not in closes and x.tag not in SCOPE - closes:
-                x = x.up
-            if x is not root and x.tag in closes:
-                node = x.up
-                while node is not root and node.tag in closes:
-                    node = node.up
-        if tag in P_CLOSERS:
-            x = node
-            while x is not root and x.tag != "p" and x.tag not in SCOPE:
-                x = x.up
-            if x.tag == "p":
-                node = x.up
-        new = _Node(tag, node, _noise(tag, m[3]))
-        node.kids.append(new)
+        if closes and path.near(closes):
+            path.pop_through(closes)
+            while path.node is not root and path.node.tag in closes:
+                path.pop()
+        if tag in P_CLOSERS and path.near(_P):
+            path.pop_through(_P)
+        new = _Node(tag, path.node, _noise(tag, m[3]))
+        path.node.kids.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             new.kids.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
-            node = new
+            path.push(new)
     return root
 
 
@@ -202,8 +233,9 @@ def _spare(root: _Node) -> None:
     most = max((x.size for x in hearts), default=0)
     hearts = [x for x in hearts if 2 * x.size >= most]
     for h in hearts:
-        for x in _path(h):
-            x.holds += 1
+        h.holds = 1
+    for x in reversed(nodes):
+        x.holds += sum(k.holds for k in x.kids if type(k) is _Node and k.noise < HARD)
     for x in nodes:
         if not x.noise:
             continue
@@ -240,6 +272,22 @@ def _measure(nodes: list[_Node], body: _Node) -> None:
         x.density = x.chars / t * math.log(inner) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else x.chars / t * math.log(inner) / 1e-9
     for x in nodes:
         x.total = sum(k.density for k in x.kids if type(k) is _Node and not k.noise)
+        x.inside = x.tag == "article" or x.up is not None and x.up.inside
+        after = False
+        for k in x.kids:
+            if type(k) is _Node and not k.noise:
+                k.after = after
+                after = after or k.tag in FLOW and k.chars > 2 * k.lchars
+    # places in page order: a node's subtree is place .. below
+    for x in reversed(nodes):
+        x.below = sum(k.below + 1 for k in x.kids if type(k) is _Node and not k.noise)
+    for x in nodes:
+        at = x.place + 1
+        for k in x.kids:
+            if type(k) is _Node and not k.noise:
+                k.place = at
+                at += k.below + 1
+        x.below += x.place
 
 
 def _path(x: _Node) -> list[_Node]:
@@ -255,8 +303,10 @@ def select(root: _Node) -> _Node:
     _spare(root)
     nodes = _order(root)
     body = next((x for x in nodes if x.tag == "body"), root)
+    if 2 * body.size < root.size:  # a stray body
+        body = root
     _measure(nodes, body)
-    best = max(nodes, key=lambda x: x.total)
+    best = max((x for x in nodes if body.place <= x.place <= body.below), key=lambda x: x.total)
     if best.total <= 0:
         return body
     path = _path(best)
@@ -272,14 +322,15 @@ def select(root: _Node) -> _Node:
             if type(k) is _Node and not k.noise and top[id(k)].total > t.total:
                 t = top[id(k)]
         top[id(x)] = t
-    common = path
+    low = high = best.place
     for x in nodes if limit is body else _order(limit):
         reached = x.total if x.tag == "article" else x.density
         if reached >= threshold and x.tag in BLOCK and x is not body and x is not root and x.chars > 2 * x.lchars:
             y = top[id(x)] if top[id(x)].total > 0 else x
-            mine = {id(z) for z in _path(y)}
-            common = [z for z in common if id(z) in mine]
-    found = common[0] if common else body
+            low, high = min(low, y.place), max(high, y.place)
+    found = best
+    while not found.place <= low <= high <= found.below:
+        found = found.up
     return next((x for x in reversed(_path(found)) if x.tag in ("article", "main")), found)
 
 
@@ -287,14 +338,7 @@ def _linked(x: _Node) -> bool:
     """A list of links, as menus without a telling name are; not in an article or after text of its own parent."""
     if x.tag not in ("ul", "ol", "div", "section", "dl", "table") or x.ltags < 3 or 2 * x.lchars <= x.chars:
         return False
-    if x.holds or any(z.tag == "article" for z in _path(x)):
-        return False
-    for k in x.up.kids:
-        if k is x:
-            return True
-        if type(k) is _Node and k.tag in FLOW and not k.noise and k.chars > 2 * k.lchars:
-            return False
-    return True
+    return not (x.holds or x.inside or x.after)
 
 
 def collect(x: _Node) -> str:

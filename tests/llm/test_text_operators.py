@@ -103,6 +103,118 @@ def test_main_with_extra_blocks():
     assert html_extract.main_text(f"<body><article><h1>Title</h1>{ps[0]}</article><div>{cards}</div></body>") == " ".join(["Title", *one])
 
 
+def slow_main(tree):
+    """The text of the selected subtree of (tag, kids) trees in a body, by the definition, each node on its own."""
+    nodes = []
+
+    def walk(t, up):
+        here = {"tag": t[0], "up": up, "kids": []}
+        nodes.append(here)
+        here["kids"] = [k if isinstance(k, str) else walk(k, here) for k in t[1]]
+        return here
+
+    def below(x):
+        return [z for k in x["kids"] if not isinstance(k, str) for z in (k, *below(k))]
+
+    def chars(x):
+        return sum(len("".join(k.split())) if isinstance(k, str) else chars(k) for k in x["kids"])
+
+    def linked(x):
+        return chars(x) if x["tag"] == "a" else sum(linked(k) for k in x["kids"] if not isinstance(k, str))
+
+    def density(x):
+        c, t, lc, lt = chars(x), len(below(x)), linked(x), sum(z["tag"] == "a" for z in below(x))
+        lt = t if x["tag"] == "a" else lt
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + linked(body) / chars(body) * c + math.e)
+        inner = math.log(max(c / (lc or 1) * (t or 1) / (lt or 1), 1.0))
+        return c / (t or 1) * inner / math.log(max(base, 1 + 1e-9)) if base > 1 else c / (t or 1) * inner / 1e-9
+
+    def total(x):
+        return sum(density(k) for k in x["kids"] if not isinstance(k, str))
+
+    def path(x):
+        return [x] + (path(x["up"]) if x["up"] else [])
+
+    def raw(x):
+        return "".join(k if isinstance(k, str) else f" {raw(k)} " if k["tag"] in html_extract.BLOCK else raw(k) for k in x["kids"])
+
+    def text(x):
+        return " ".join(raw(x).split())
+
+    body = walk(("body", tree), None)
+    wide = [body]
+    for x in wide:
+        wide += [k for k in x["kids"] if not isinstance(k, str)]
+    best = max(wide, key=total)
+    if total(best) <= 0:
+        return text(body)
+    least = min(density(x) for x in path(best))
+    held = [best]
+    for x in nodes[1:]:
+        if density(x) >= least and x["tag"] in html_extract.BLOCK and chars(x) > 2 * linked(x):
+            top = max([x, *below(x)], key=total)
+            held.append(top if total(top) > 0 else x)
+    return text(next(x for x in path(best) if all(any(z is x for z in path(y)) for y in held)))
+
+
+def test_selection_matches_a_direct_version():
+    rng = random.Random(8)
+    words = "river stone cloud walks under light again some words of text".split()
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["div", "p", "a", "section", "span"] if depth else ["p", "a", "text"])
+            phrase = " " + " ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) + " "
+            if kind == "text":
+                out.append(phrase)
+            elif kind in ("p", "a", "span"):
+                out.append((kind, [phrase] + ([("a", [" link "])] if kind == "p" and rng.random() < 0.3 else [])))
+            else:
+                out.append((kind, tree(depth - 1)))
+        return out
+
+    def markup(kids):
+        return "".join(k if isinstance(k, str) else f"<{k[0]}>{markup(k[1])}</{k[0]}>" for k in kids)
+
+    compared = 0
+    for _ in range(300):
+        t = tree(3)
+        page = f"<html><body>{markup(t)}</body></html>"
+        if not any(html_extract._linked(x) for x in linkable(page)):  # lists of links go, which the direct version doesn't know
+            compared += 1
+            assert html_extract.main_text(page) == slow_main(t), page
+    assert compared > 150
+
+
+def linkable(page):
+    root = html_extract.parse(page)
+    html_extract.select(root)
+    return [x for x in html_extract._order(root) if x.up is not None and x.tag not in ("body", "html")]
+
+
+def test_deep_and_hostile_pages_take_linear_time():
+    import time
+
+    n = 50_000
+    pages = ["<div>" * n + "<p>Some words of text.</p>" + "</div>" * n, "<p>Some words of text." + "</b>" * n, "<div>" * n + "<p>Some words of text.</p>" + "</span>" * n,
+             "<p>Some words of text.</p>" + "<i>" * n + "<h2></h2>" * n, "<ul><li><a>x</a><a>y</a><a>z</a></ul>" * 3000 + "<p>Some words of text.</p>", "<p title='x>" * n + "Some words of text."]
+    for page in pages:
+        began = time.perf_counter()
+        assert "Some words of text." in html_extract.main_text(page)
+        assert time.perf_counter() - began < 15
+
+
+def test_open_quotes_and_class_words_leave_the_text():
+    assert html_extract.main_text("<p title='x>Some text") == "Some text"
+    assert html_extract.main_text("<p title='x>Some text</p><p>More 'quoted' text</p>") == "Some text More 'quoted' text"
+    assert html_extract.main_text("<p a=b' c>hello <b title=\"a > b\">you</b></p>") == "hello you"
+    for name in ("skip-research", "search", "social", "alert", "reply", "notice"):
+        assert html_extract.main_text(f"<section class='{name}'><p>Some text of it.</p></section>") == "Some text of it."
+
+
 def test_dates_of_all_years_and_more_shapes(spark):
     from pyspark.sql import functions as F
 
