@@ -120,6 +120,34 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert P.run(spark, SF).count() == sizes[4]
 
 
+def test_pipeline_of_odd_tables(spark, corpus, empty, tmp_path):
+    """Nulls, empties, repeated rows, a very long text and clashing columns; and no rows at all."""
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(i, int(i % 9 != 0), 0) for i in range(60)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    for name, docs, marks in (("odd", corpus, labels), ("none", empty, labels.limit(0)), ("unlabelled", corpus, labels.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        marks.write.parquet(str(tmp_path / name / "labels.parquet"))
+        df, folder = spark.read.parquet(str(tmp_path / name / "documents.parquet")), str(tmp_path / name)
+        seen = []
+        for step, stage in P.STAGES:
+            stage(spark, df, folder).write.parquet(f"{folder}/{step}")
+            after = spark.read.parquet(f"{folder}/{step}")
+            if step != "packing":
+                assert after.dtypes == docs.dtypes, step
+                rows, old = (Counter((r.doc_id, *([] if step == "pii" else [r.text]), r.lang, r.source, r.keep_id, r.SCORE, r.kept) for r in d.collect()) for d in (after, df))
+                assert not rows - old and (step != "pii" or rows == old)
+                seen.append(sum(rows.values()))
+            else:
+                assert Counter(r.doc_id for r in after.where("piece = 0").collect()) == Counter(r.doc_id for r in df.collect())
+            df = after
+        if name == "none":
+            assert seen == [0] * 4
+        if name == "unlabelled":  # nothing to learn: all documents stay
+            texts = {(r.text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for r in corpus.collect()}
+            assert seen[:2] == [corpus.count(), len(texts)] and 0 < seen[2] < seen[1]
+
+
 def test_other_queries_run(spark):
     for name in ("op2_jaccard_join", "op6_size_tiered_sharding", "op8_html_extraction", "op9_piece_nbest"):
         table = "pages" if "html" in name else "documents"
