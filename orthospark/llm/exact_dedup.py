@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, release, shuffle_width, table, without
 
 RESULT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-_D, _K, _N, _L = "__xd_digest", "__xd_keep", "__xd_n", "__xd_lead"
+_D, _K, _N, _L, _T, _W = "__xd_digest", "__xd_keep", "__xd_n", "__xd_lead", "__xd_row", "__xd_winner"
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -69,48 +69,52 @@ def misra_gries(digests: DataFrame, counters: int) -> DataFrame:
 
 
 def _winners(digests: DataFrame, counters: int) -> DataFrame:
-    """Exact sizes and winners of the heavy digests; bounded by ``counters + 1`` rows."""
+    """Exact sizes and winners (id and, where rows are numbered, row) of the heavy digests; at most ``counters + 1`` rows."""
     found = F.broadcast(misra_gries(digests, counters))
-    return digests.join(found, _D).groupBy(_D).agg(F.count(F.lit(1)).alias(_N), F.max("__xd_id").alias(_K)).withColumn(_L, F.lit(True))
+    row = [F.coalesce(F.max_by(_T, "__xd_id"), F.max(_T)).alias(_W)] if _T in digests.columns else []  # all ids null: any row
+    return digests.join(found, _D).groupBy(_D).agg(F.count(F.lit(1)).alias(_N), F.max("__xd_id").alias(_K), *row).withColumn(_L, F.lit(True))
 
 
-def _decide(rows: DataFrame, digests: DataFrame, id_col: str, counters: int) -> DataFrame:
-    """``rows`` (with the digest) plus keep_id, group_size and kept."""
-    heavy = F.broadcast(_winners(digests, counters))
-    split = rows.join(heavy, _D, "left")
-    the_id = F.col(f"`{id_col}`")
-    loses = F.col(_L).isNotNull() & ~the_id.eqNullSafe(F.col(_K))
-    columns = [f"`{c}`" for c in rows.columns]
-    losers = split.where(loses).select(*columns, F.col(_K).alias("keep_id"), F.col(_N).alias("group_size"), F.lit(False).alias("kept"))
-    group = Window.partitionBy(_D)
-    first = F.row_number().over(group.orderBy(the_id.desc_nulls_last())) == 1
-    rest = split.where(~loses).select(
-        *columns,
-        F.when(F.col(_L).isNotNull(), F.col(_K)).otherwise(F.max(the_id).over(group)).alias("keep_id"),
-        F.when(F.col(_L).isNotNull(), F.col(_N)).otherwise(F.count(F.lit(1)).over(group)).alias("group_size"),
-        first.alias("kept"),
-    )
-    return losers.unionByName(rest)
-
-
-def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return checkpointed(docs.select(F.col(f"`{id_col}`").alias("__xd_id"), text_digest(text_col).alias(_D)))
+def _digests(docs: DataFrame, id_col: str, text_col: str, numbered: bool = False) -> DataFrame:
+    """Ids and digests, written once; ``numbered`` adds a number to every row, which holds as the table is a checkpoint."""
+    number = [F.monotonically_increasing_id().alias(_T)] if numbered else []
+    return checkpointed(docs.select(F.col(f"`{id_col}`").alias("__xd_id"), text_digest(text_col).alias(_D), *number))
 
 
 def dedup_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    counters = counters or default_counters(docs.sparkSession)
-    digests = _digests(docs, id_col, text_col)
-    out = _decide(digests, digests, "__xd_id", counters)
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Winners are told by row number, so of a heavy digest one row is shuffled, also where all its rows bear one id.
+    """
+    digests = _digests(docs, id_col, text_col, numbered=True)
+    heavy = F.broadcast(_winners(digests, counters or default_counters(docs.sparkSession)))
+    split = digests.join(heavy, _D, "left")
+    led, loses = F.col(_L).isNotNull(), F.col(_L).isNotNull() & (F.col(_T) != F.col(_W))
+    group = Window.partitionBy(_D)
+    losers = split.where(loses).select("__xd_id", _D, F.col(_K).alias("keep_id"), F.col(_N).alias("group_size"), F.lit(False).alias("kept"))
+    rest = split.where(~loses).select(
+        "__xd_id",
+        _D,
+        F.when(led, F.col(_K)).otherwise(F.max("__xd_id").over(group)).alias("keep_id"),
+        F.when(led, F.col(_N)).otherwise(F.count(F.lit(1)).over(group)).alias("group_size"),
+        (F.row_number().over(group.orderBy(F.col("__xd_id").desc_nulls_last())) == 1).alias("kept"),
+    )
+    out = losers.unionByName(rest)
     return out.select(F.col("__xd_id").alias("doc_id"), "keep_id", F.col("group_size").cast("long"), "kept", F.lower(F.hex(_D)).alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    counters = counters or default_counters(docs.sparkSession)
+    """The rows of ``docs`` that stay, with the columns of ``docs``.
+
+    Rows of a frequent text that lose by their id go map-side. Of the others each task passes on one row a
+    digest at most (the limit of a window's groups), so rows that repeat id and text aren't gathered either.
+    """
     rows = without(docs, ["keep_id", "group_size", "kept", _D, _K, _N, _L]).withColumn(_D, text_digest(text_col))
-    out = _decide(rows, _digests(docs, id_col, text_col), id_col, counters).where("kept")
-    return out.drop(_D, "keep_id", "group_size", "kept")
+    heavy = F.broadcast(_winners(_digests(docs, id_col, text_col), counters or default_counters(docs.sparkSession)))
+    the_id = F.col(f"`{id_col}`")
+    stays = rows.join(heavy, _D, "left").where(F.col(_L).isNull() | the_id.eqNullSafe(F.col(_K))).select(*[f"`{c}`" for c in rows.columns])
+    first = F.row_number().over(Window.partitionBy(_D).orderBy(the_id.desc_nulls_last()))
+    return stays.withColumn(_N, first).where(F.col(_N) == 1).drop(_D, _N)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

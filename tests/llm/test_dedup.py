@@ -44,6 +44,20 @@ def test_heavy_hitters_are_found(spark):
     assert out.where("group_size = 1000 and keep_id = 2997").count() == 1000
 
 
+def test_heavy_rows_of_one_id(spark):
+    """Rows that repeat id and text (null ids too) leave one row each, and no task gathers them."""
+    rows = [(9 if i % 3 == 0 else None if i % 3 == 1 else i, ("hot", "cold", f"t{i}")[i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = X.dedup_decisions(df, counters=8).collect()
+    for text, best in (("hot", 9), ("cold", None)):
+        got = [r for r in out if r.text_sha256 == hashlib.sha256(text.encode()).hexdigest()]
+        assert len(got) == 1000 and sum(r.kept for r in got) == 1 and {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(best, best, 1000)}
+    assert sum(r.kept for r in out) == 1002 and len(out) == 3000
+    stay = X.exact_dedup(df, counters=8)
+    assert Counter(r.text for r in stay.collect()) == Counter(t for t in {t for _, t in rows})
+    assert "WindowGroupLimit" in stay._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_dedup_keeps_columns_and_rows(corpus, empty):
     kept = X.exact_dedup(corpus.drop("keep_id", "kept"), counters=3)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "SCORE"]
