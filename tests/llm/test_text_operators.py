@@ -230,14 +230,23 @@ def test_dates_of_all_years_and_more_shapes(spark):
     assert got[len(shapes)].n == got[len(shapes) + 1].n == 0
 
 
-def test_rules_are_ordered_by_a_sample_of_the_whole_table(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(quality_rules, "estimate_order", lambda texts: seen.extend(texts) or list(quality_rules.RULES))
+def test_rules_are_ordered_by_a_sample_of_the_whole_table(spark):
     df = spark.createDataFrame([(i, f"{'late' if i >= 1000 else 'early'} {i}") for i in range(2000)], "doc_id long, text string").coalesce(1)
-    quality_rules.quality_rules(df, sample_rows=200)
+    seen = [r.text for r in quality_rules.sampled(df, 200).collect()]
     assert 100 < len(seen) <= 200 and min(sum(t.startswith(w) for t in seen) for w in ("early", "late")) > 50
 
 
+def test_rules_are_measured_in_tasks(spark):
+    """A rule that rejects most rows goes first, whichever partitions hold them; without rows the order is that of RULES."""
+    plain, loud = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}!!" for i in range(60))
+    df = spark.createDataFrame([(i, loud if i % 7 else plain) for i in range(400)], "doc_id long, text string").repartition(6)
+    assert quality_rules.measured_order(df, 1000)[0] == "exclamation"
+    figures = quality_rules.measure([plain, loud, loud, "short"])
+    assert figures["exclamation"][:2] == (3, 2) and figures["symbols"][:2] == (3, 0)
+    assert quality_rules.measured_order(df.where("false"), 1000) == list(quality_rules.RULES)
+    assert quality_rules.ranked({n: (10, 5, float(k + 1)) for k, n in enumerate(reversed(quality_rules.RULES))}) == list(reversed(quality_rules.RULES))
+
+
 def test_class_words_dont_cut_the_article():
     ts = paragraphs("Story", 4)
     ps, want = "".join(f"<p>{t}</p>" for t in ts), " ".join(ts)
